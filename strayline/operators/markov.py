@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strayline.functions import entropy_term, outlier_flag
-from strayline.operators.matrix import parse_states, row_stats, state_grid, state_index
+from strayline.operators.matrix import parse_states, state_grid, state_index
 from strayline.operators.sequences import (
     HOT_EVENTS,
     KEYS,
@@ -77,47 +77,61 @@ def check_metric(metric: str) -> str:
     return metric
 
 
-def _terms(metric: str) -> tuple[Column, Column]:
-    """What one step adds to the numerator and to the denominator of a sequence's metric."""
-    p = F.coalesce("p", F.lit(0.0))
-    one = F.lit(1.0)
-    if metric == "missprob":
-        return F.col("row_sum") - p, one
-    if metric == "missrate":
-        return F.when(F.col("state") == F.col("best"), 0.0).otherwise(1.0), one
-    return F.col("row_entropy") - entropy_term(p), F.col("row_entropy")
+def step_terms(matrix: DataFrame, states: Sequence[str], metric: str) -> DataFrame:
+    """What each step adds to numerator and denominator of the metric: ``(_src, _dst, _num, _den)``.
 
+    One row per matrix cell of the declared states, and one per source with ``_dst`` NULL for any
+    other target, which counts as a cell of probability 0.
+    """
+    declared = matrix.where(F.col("src").isin(states) & F.col("dst").isin(states))
+    row = Window.partitionBy("src")
+    cells = declared.select(
+        "src",
+        F.sum("p").over(row).alias("row_sum"),
+        F.sum(entropy_term("p")).over(row).alias("row_entropy"),
+        F.min_by("dst", F.struct(-F.col("p"), F.col("dst_idx"))).over(row).alias("best"),
+        F.min("dst_idx").over(row).alias("first_idx"),
+        "dst_idx",
+        F.struct("dst", "p").alias("cell"),
+    )
+    other = F.struct(F.lit(None).cast("string").alias("dst"), F.lit(0.0).alias("p"))
+    at_first = F.col("dst_idx") == F.col("first_idx")
+    cells = cells.withColumn(
+        "cell", F.explode(F.when(at_first, F.array("cell", other)).otherwise(F.array("cell")))
+    )
+    dst, p = F.col("cell.dst"), F.col("cell.p")
+    terms = {
+        "missprob": (F.col("row_sum") - p, F.lit(1.0)),
+        "missrate": (F.when(dst.eqNullSafe(F.col("best")), 0.0).otherwise(1.0), F.lit(1.0)),
+        "entreduc": (F.col("row_entropy") - entropy_term(p), F.col("row_entropy")),
+    }
+    num, den = terms[check_metric(metric)]
+    return cells.select(
+        F.col("src").alias("_src"), dst.alias("_dst"), num.alias("_num"), den.alias("_den")
+    )
 
-def _with_terms(steps: DataFrame, matrix: DataFrame, states: list[str], metric: str) -> DataFrame:
+
+def _with_terms(steps: DataFrame, terms: DataFrame, states: Sequence[str]) -> DataFrame:
     """Add the columns ``num`` and ``den``: NULL for a row that is no step.
 
-    A step takes one lookup of its cell and one of its row, whatever the number of states. A
-    matrix cell outside the declared states is not used, which bounds the broadcast side by the
-    length of the state list. A source state without a matrix row is an error; a target without a
-    cell counts as probability 0.
+    A step takes one lookup, whatever the number of states. The lookup table has exactly
+    ``n * (n + 1)`` rows for ``n`` declared states and is broadcast up to a fixed size. A source
+    state without a matrix row is an error.
     """
-    declared = F.col("src").isin(states)
-    dim = len(states)
-    rows = row_stats(matrix.where(declared)).withColumnRenamed("src", "_src")
-    cells = matrix.where(declared & F.col("dst").isin(states)).select(
-        F.col("src").alias("_from"), F.col("dst").alias("_to"), "p"
+    if len(states) ** 2 <= BROADCAST_CELLS:
+        terms = F.broadcast(terms)
+    target = F.when(F.col("state").isin(states), F.col("state"))
+    looked = steps.withColumn("_prev", F.col("prev.state")).withColumn("_target", target).join(
+        terms,
+        (F.col("_prev") == F.col("_src")) & F.col("_target").eqNullSafe(F.col("_dst")),
+        "left",
     )
-    if dim <= BROADCAST_CELLS:
-        rows = F.broadcast(rows)
-    if dim**2 <= BROADCAST_CELLS:
-        cells = F.broadcast(cells)
-    looked = steps.withColumn("_prev", F.col("prev.state")).join(
-        rows, F.col("_prev") == F.col("_src"), "left"
-    ).join(cells, (F.col("_prev") == F.col("_from")) & (F.col("state") == F.col("_to")), "left")
-
-    num, den = _terms(metric)
-    is_step = F.col("prev").isNotNull()
     unknown = F.concat(F.lit("state not declared: "), F.coalesce("_prev", F.lit("NULL")))
-    known = F.when(is_step & F.col("_src").isNull(), F.raise_error(unknown).cast("double"))
+    failed = F.col("prev").isNotNull() & F.col("_src").isNull()
     return looked.select(
         *steps.columns,
-        F.coalesce(known, F.when(is_step, num)).alias("num"),
-        F.when(is_step, den).alias("den"),
+        F.when(failed, F.raise_error(unknown).cast("double")).otherwise(F.col("_num")).alias("num"),
+        F.col("_den").alias("den"),
     )
 
 
@@ -141,9 +155,9 @@ def sequence_metrics(
 
     The matrix enters as it is, so ``missprob`` ranges over 0..scale of the matrix.
     """
-    check_metric(metric)
-    terms = _with_terms(all_steps(events), matrix, parse_states(states), metric)
-    return terms.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
+    names = parse_states(states)
+    scored = _with_terms(all_steps(events), step_terms(matrix, names, metric), names)
+    return scored.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
 
 
 def miss_prob(events, matrix: DataFrame, states) -> DataFrame:
@@ -176,26 +190,26 @@ def score_sequences(
     partitioning by (site, user). Only the totals of sliced sequences are brought together by a
     join, whose small side has at most one row per shuffle partition.
     """
-    check_metric(metric)
     names = parse_states(states)
+    lookup = step_terms(matrix, names, metric)
     cold, hot = split_events(events, hot_events)
 
-    def parts(terms: DataFrame, sliced: bool) -> DataFrame:
+    def parts(steps: DataFrame, sliced: bool) -> DataFrame:
         keys = [*KEYS, "slice"] if sliced else KEYS
         return (
-            terms.withColumn("part", part_number(part_events, sliced))
+            steps.withColumn("part", part_number(part_events, sliced))
             .groupBy(*keys, "part")
             .agg(part_states().alias("states"), F.sum("num").alias("num"), F.sum("den").alias("den"))
         )
 
     whole = Window.partitionBy(*KEYS)
-    scored = parts(_with_terms(ordered_steps(cold, KEYS), matrix, names, metric), False).select(
+    scored = parts(_with_terms(ordered_steps(cold, KEYS), lookup, names), False).select(
         *KEYS, "part", "states",
         _metric(F.sum("num").over(whole), F.sum("den").over(whole)).alias("metric"),
     )
     if hot is not None:
-        inner = _with_terms(ordered_steps(hot, [*KEYS, "slice"]), matrix, names, metric)
-        across = _with_terms(seams(hot), matrix, names, metric)
+        inner = _with_terms(ordered_steps(hot, [*KEYS, "slice"]), lookup, names)
+        across = _with_terms(seams(hot), lookup, names)
         sums = [*KEYS, "num", "den"]
         totals = (
             inner.select(*sums).unionByName(across.select(*sums))

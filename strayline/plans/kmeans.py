@@ -45,11 +45,21 @@ def model_centers(model: KMeansModel, vectors: DataFrame) -> DataFrame:
 
 @contextmanager
 def _kept(vectors: DataFrame) -> Iterator[DataFrame]:
-    """Keep the vectors while several fits read them; a lost block is computed again."""
+    """Keep the vectors while several fits read them; a lost block is computed again.
+
+    Input in fewer partitions than cores is spread once, so that every round of every fit runs in
+    parallel; larger input stays as it is partitioned.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
     kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    spread = None
     try:
-        yield kept
+        if kept.rdd.getNumPartitions() < cores:
+            spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        yield spread or kept
     finally:
+        if spread is not None:
+            spread.unpersist()
         kept.unpersist()
 
 

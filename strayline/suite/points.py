@@ -37,7 +37,7 @@ TOP = 3
 def q_feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feature_stats(lineitem_points(spark, sf_dir)).select(
         "pos", "n", rounded("total", 2).alias("total"),
-        rounded("mean").alias("mean"), rounded("stdev").alias("stdev"),
+        rounded("mean", 7).alias("mean"), rounded("stdev").alias("stdev"),
     )
 
 
@@ -249,7 +249,7 @@ QUERIES = {
 
 def _stats_sql(column: str, pos: int) -> str:
     return f"""select {pos}::integer as pos, count(*) as n, round(sum({column}), 2) + 0.0 as total,
-  round(avg({column}), 6) + 0.0 as mean, round(stddev_pop({column}), 6) + 0.0 as stdev from lineitem"""
+  round(avg({column}), 7) + 0.0 as mean, round(stddev_pop({column}), 6) + 0.0 as stdev from lineitem"""
 
 
 def _z_sql(column: str, pos: int) -> str:
