@@ -56,11 +56,13 @@ def with_vector(points: DataFrame) -> DataFrame:
 def _summary(points: DataFrame) -> DataFrame:
     """One row ``(n, mean, stdev)`` from one pass; raises if the vectors differ in length.
 
-    The summarizer reports the sample variance; scaling by ``(n-1)/n`` gives the population one.
+    No points give no row, hence the constant group. The summarizer reports the sample variance; scaling by ``(n-1)/n`` gives the population one.
     """
     metrics = Summarizer.metrics("count", "mean", "variance")
-    summed = points.select(array_to_vector("features").alias("v")).agg(
-        metrics.summary(F.col("v")).alias("s")
+    summed = (
+        points.select(array_to_vector("features").alias("v"))
+        .groupBy(F.lit("all"))
+        .agg(metrics.summary(F.col("v")).alias("s"))
     )
     n = F.col("s.count")
     return summed.select(
