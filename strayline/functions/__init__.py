@@ -1,7 +1,6 @@
 """Column expressions shared by the operators."""
 
 from strayline.functions.columns import (
-    center_on,
     entropy_bits,
     entropy_nats,
     entropy_term,
@@ -11,7 +10,6 @@ from strayline.functions.columns import (
 )
 
 __all__ = [
-    "center_on",
     "entropy_bits",
     "entropy_nats",
     "entropy_term",

@@ -16,11 +16,6 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
     return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
 
 
-def center_on(x: Column, mean: Column, stdev: Column) -> Column:
-    """Z-score of one value; a feature that does not vary is only centered."""
-    return F.when(stdev > 0, (x - mean) / stdev).otherwise(x - mean)
-
-
 def entropy_term(p: Column | str) -> Column:
     """``-p * ln(p)``, continued by 0 at ``p = 0``."""
     p = _col(p)

@@ -7,9 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
-
-from strayline.functions import center_on
+from pyspark.sql import DataFrame, functions as F
 
 
 def assemble_points(cells: DataFrame) -> DataFrame:
@@ -91,11 +89,7 @@ def zscore(points: DataFrame) -> DataFrame:
     The statistics (two values per feature) come in as a scalar subquery: the points are not
     joined or shuffled.
     """
-    stats = _summary(points).select(F.arrays_zip("mean", "stdev")).scalar()
-
-    def scaled(x: Column, s: Column) -> Column:
-        return center_on(x, s["mean"], s["stdev"])
-
-    return points.withColumn("_stats", stats).select(
-        "id", "label", F.zip_with("features", "_stats", scaled).alias("features")
-    )
+    spread = F.transform("stdev", lambda s: F.when(s > 0, s).otherwise(1.0)).alias("spread")
+    stats = _summary(points).select("mean", spread).select(F.arrays_zip("mean", "spread")).scalar()
+    scaled = F.zip_with("features", "_stats", lambda x, s: (x - s["mean"]) / s["spread"])
+    return points.withColumn("_stats", stats).select("id", "label", scaled.alias("features"))

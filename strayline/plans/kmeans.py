@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from math import ceil
+from typing import NamedTuple
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -22,6 +24,10 @@ STRATEGIES = ("distance", "entropy")
 SEED = 42
 # Fits that run at the same time; each one already uses the whole cluster.
 PARALLEL_FITS = 4
+# Up to this many feature values (about 2 GB with overhead) each fit may keep its own copy.
+OWN_COPY_VALUES = 100_000_000
+# Feature values that are worth a task of their own.
+TASK_VALUES = 100_000
 
 
 def check_strategy(strategy: str) -> str:
@@ -43,30 +49,41 @@ def model_centers(model: KMeansModel, vectors: DataFrame) -> DataFrame:
     return centers_frame(vectors.sparkSession, list(enumerate(model.clusterCenters())))
 
 
+class Kept(NamedTuple):
+    """Cached vectors, the frame to give to a fit, and their number."""
+
+    vectors: DataFrame
+    to_fit: DataFrame
+    rows: int
+
+
 @contextmanager
-def _kept(vectors: DataFrame) -> Iterator[DataFrame]:
-    """Keep the vectors while several fits read them; a lost block is computed again.
+def _kept(vectors: DataFrame) -> Iterator[Kept]:
+    """Keep the vectors while fits read them; a lost block is computed again.
 
-    Input in fewer partitions than cores is spread once, so that every round of every fit runs in
-    parallel; larger input stays as it is partitioned.
+    All fits share this one compact copy. Only up to a fixed size does each fit also keep its own
+    copy of unpacked vectors, which Spark does when the frame it is given is not cached itself.
+    Input in too few partitions for its size is spread over the cores once.
     """
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    spread = None
+    cached = [vectors.persist(StorageLevel.MEMORY_AND_DISK)]
     try:
-        if kept.rdd.getNumPartitions() < cores:
-            spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-        yield spread or kept
+        first = cached[0].agg(F.count(F.lit(1)).alias("n"), F.first("vector").alias("v")).first()
+        values = first["n"] * (first["v"].size if first["n"] else 0)
+        cores = vectors.sparkSession.sparkContext.defaultParallelism
+        wanted = min(cores, ceil(values / TASK_VALUES))
+        if cached[0].rdd.getNumPartitions() < wanted:
+            cached.append(cached[0].repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK))
+        kept = cached[-1]
+        yield Kept(kept, kept.select("vector") if values <= OWN_COPY_VALUES else kept, first["n"])
     finally:
-        if spread is not None:
-            spread.unpersist()
-        kept.unpersist()
+        for frame in reversed(cached):
+            frame.unpersist()
 
 
-def _fit_all(vectors: DataFrame, ks: Sequence[int], iterations: int) -> dict[int, KMeansModel]:
-    @inheritable_thread_target(vectors.sparkSession)
+def _fit_all(kept: Kept, ks: Sequence[int], iterations: int) -> dict[int, KMeansModel]:
+    @inheritable_thread_target(kept.vectors.sparkSession)
     def fit(k: int) -> KMeansModel:
-        return fit_kmeans(vectors, k, iterations)
+        return fit_kmeans(kept.to_fit, k, iterations)
 
     with ThreadPoolExecutor(max_workers=min(PARALLEL_FITS, len(ks))) as pool:
         return dict(zip(ks, pool.map(fit, ks)))
@@ -118,20 +135,21 @@ def sweep_k(
     - ``distance``: mean distance of the points to their center, which falls as k grows
     """
     check_strategy(strategy)
-    with _kept(with_vector(points)) as vectors:
-        scores = score_models(vectors, _fit_all(vectors, ks, iterations), strategy)
-        rows = [(r["k"], r["score"]) for r in scores.collect()]
+    with _kept(with_vector(points)) as kept:
+        models = _fit_all(kept, ks, iterations) if kept.rows else {}
+        scores = score_models(kept.vectors, models, strategy).collect() if models else []
+        rows = [(r["k"], r["score"]) for r in scores]
     return points.sparkSession.createDataFrame(rows, "k int, score double")
 
 
 def _choose(
-    vectors: DataFrame, strategy: str, iterations: int, ks: Sequence[int]
+    kept: Kept, strategy: str, iterations: int, ks: Sequence[int]
 ) -> tuple[int, KMeansModel] | None:
     """Best k and its model; None if there are no points to choose by."""
-    if vectors.isEmpty():
+    if not kept.rows:
         return None
-    models = _fit_all(vectors, ks, iterations)
-    k = best_k(score_models(vectors, models, strategy)).first()["k"]
+    models = _fit_all(kept, ks, iterations)
+    k = best_k(score_models(kept.vectors, models, strategy)).first()["k"]
     return k, models[k]
 
 
@@ -142,8 +160,8 @@ def prepare(
     """Normalize the points and choose k; returns ``(k, normalized points)``."""
     check_strategy(strategy)
     normalized = zscore(points)
-    with _kept(with_vector(normalized)) as vectors:
-        chosen = _choose(vectors, strategy, iterations, ks)
+    with _kept(with_vector(normalized)) as kept:
+        chosen = _choose(kept, strategy, iterations, ks)
     return (chosen[0] if chosen else min(ks)), normalized
 
 
@@ -165,9 +183,11 @@ def detect_kmeans(normalized: DataFrame, k: int, iterations: int, top: int) -> D
     lazy.
     """
     vectors = with_vector(normalized)
-    if vectors.isEmpty():
+    with _kept(vectors) as kept:
+        model = fit_kmeans(kept.to_fit, k, iterations) if kept.rows else None
+    if model is None:
         return _none_found(normalized)
-    return top_per_cluster(assign_by_model(vectors, fit_kmeans(vectors, k, iterations)), top)
+    return top_per_cluster(assign_by_model(vectors, model), top)
 
 
 def find_kmeans_outliers(
