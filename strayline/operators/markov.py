@@ -12,6 +12,7 @@ from strayline.operators.sequences import (
     HOT_EVENTS,
     KEYS,
     PART_EVENTS,
+    SEQUENCE,
     SplitEvents,
     all_steps,
     ordered_steps,
@@ -157,7 +158,8 @@ def sequence_metrics(
     """
     names = parse_states(states)
     scored = _with_terms(all_steps(events), step_terms(matrix, names, metric), names)
-    return scored.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
+    metrics = scored.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
+    return metrics.select(*SEQUENCE, "metric")
 
 
 def miss_prob(events, matrix: DataFrame, states) -> DataFrame:
@@ -204,7 +206,7 @@ def score_sequences(
 
     whole = Window.partitionBy(*KEYS)
     scored = parts(_with_terms(ordered_steps(cold, KEYS), lookup, names), False).select(
-        *KEYS, "part", "states",
+        *SEQUENCE, "part", "states",
         _metric(F.sum("num").over(whole), F.sum("den").over(whole)).alias("metric"),
     )
     if hot is not None:
@@ -219,6 +221,6 @@ def score_sequences(
         same = F.col("site").eqNullSafe(F.col("_site")) & F.col("user").eqNullSafe(F.col("_user"))
         scored = scored.unionByName(
             parts(inner, True).join(F.broadcast(totals), same)
-            .select(*KEYS, "part", "states", "metric")
+            .select(*SEQUENCE, "part", "states", "metric")
         )
     return scored.withColumn("flag", outlier_flag("metric", threshold))
