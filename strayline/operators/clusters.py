@@ -33,6 +33,26 @@ def _nearest(features: str, centers: str) -> Column:
     )
 
 
+def _typed(centers: DataFrame) -> DataFrame:
+    return centers.select(
+        F.col("cluster").cast("int"), F.col("center").cast("array<double>").alias("center")
+    )
+
+
+def _measure(centers: DataFrame) -> tuple[int, int]:
+    """Number of centers and their dimension."""
+    sized = centers.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("center")), F.lit(0)).alias("d")
+    ).first()
+    return sized["n"], sized["d"]
+
+
+def _held(centers: DataFrame) -> DataFrame:
+    """A center table that has been measured, read once and held by the driver."""
+    rows = [(r["cluster"], r["center"]) for r in centers.collect()]
+    return centers_frame(centers.sparkSession, rows)
+
+
 def assign_nearest(
     points: DataFrame, centers: DataFrame, local_values: int = LOCAL_CENTER_VALUES
 ) -> DataFrame:
@@ -42,19 +62,12 @@ def assign_nearest(
     neither joined nor shuffled. A larger table is cut into blocks: each point meets each block
     once, keeps the block's best center, and the least of those is the answer.
     """
-    spark = points.sparkSession
-    sized = centers.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("center")), F.lit(0)).alias("d")
-    ).first()
-    centers = centers.select(
-        F.col("cluster").cast("int"), F.col("center").cast("array<double>").alias("center")
-    )
-    if sized["n"] * sized["d"] > local_values:
-        block_rows = max(1, local_values // sized["d"])
-        return _assign_by_blocks(points, centers, ceil(sized["n"] / block_rows))
+    centers = _typed(centers)
+    n, d = _measure(centers)
+    if n * d > local_values:
+        return _assign_by_blocks(points, centers, ceil(n / max(1, local_values // d)))
 
-    table = centers_frame(spark, [(r["cluster"], r["center"]) for r in centers.collect()])
-    every = table.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
+    every = _held(centers).agg(F.collect_list(F.struct("cluster", "center"))).scalar()
     return (
         points.withColumn("_centers", every)
         .withColumn("_best", _nearest("features", "_centers"))
@@ -63,29 +76,32 @@ def assign_nearest(
 
 
 def _assign_by_blocks(points: DataFrame, centers: DataFrame, blocks: int) -> DataFrame:
-    """Nearest center over blocks of centers; salted, as there are far fewer blocks than tasks."""
+    """Nearest center over blocks of centers; salted, as there are far fewer blocks than tasks.
+
+    The blocks' answers meet again by the content of the point. Points that are equal in every
+    column share that group and are counted, so each of them is in the result.
+    """
     salts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = (
         centers.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
         .groupBy("block")
         .agg(F.collect_list(F.struct("cluster", "center")).alias("_centers"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
+    used = table.agg(F.count(F.lit(1))).scalar()
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = (
-        points.withColumn("_row", F.monotonically_increasing_id())
-        .withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int"))
+        points.withColumn("salt", F.pmod(F.xxhash64("id", "features"), F.lit(salts)).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .join(table, ["block", "salt"])
+        .join(salted, ["block", "salt"])
         .withColumn("_best", _nearest("features", "_centers"))
     )
+    grouped = met.groupBy("id", "label", "features").agg(
+        F.min("_best").alias("_best"), F.count(F.lit(1)).alias("_met")
+    )
+    copies = F.sequence(F.lit(1), F.floor(F.col("_met") / F.col("_used")))
     return (
-        met.groupBy("_row")
-        .agg(
-            F.min("_best").alias("_best"),
-            F.first("id").alias("id"),
-            F.first("label").alias("label"),
-            F.first("features").alias("features"),
-        )
+        grouped.withColumn("_used", used)
+        .withColumn("_copy", F.explode(copies))
         .select("_best.cluster", "_best.distance", "id", "label", "features")
     )
 
@@ -97,11 +113,17 @@ def centers_frame(spark: SparkSession, rows: list) -> DataFrame:
     )
 
 
-def center_distance(assigned: DataFrame, centers: DataFrame) -> DataFrame:
+def center_distance(
+    assigned: DataFrame, centers: DataFrame, local_values: int = LOCAL_CENTER_VALUES
+) -> DataFrame:
     """Add the distance of each point to the center of the cluster it already belongs to.
 
-    Without a hint: a center table is small enough for Spark to broadcast by its measured size.
+    The centers are broadcast up to ``local_values`` doubles and joined as any table beyond.
     """
+    centers = _typed(centers)
+    n, d = _measure(centers)
+    if n * d <= local_values:
+        centers = F.broadcast(_held(centers))
     return (
         assigned.join(centers, "cluster")
         .withColumn("distance", euclidean("features", "center"))

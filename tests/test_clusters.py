@@ -35,7 +35,7 @@ def test_assign_nearest_equals_brute_force(spark, local_values):
 def test_blocks_keep_points_of_equal_id(spark):
     points = [(1, "a", [0.0]), (1, "a", [9.0]), (1, "a", [0.0])]
     got = assign_nearest(points_frame(spark, points), centers_frame(spark, [(0, [1.0]), (1, [8.0])]), 1)
-    assert sorted(r["cluster"] for r in got.collect()) == [0, 0, 1]
+    assert sorted((r["cluster"], r["distance"]) for r in got.collect()) == [(0, 1.0), (0, 1.0), (1, 1.0)]
 
 
 @pytest.mark.parametrize("local_values", [1_000_000, 1])
@@ -53,8 +53,10 @@ def test_scores(spark):
     )
     assert cluster_entropy(assigned).first()["score"] == 0.5  # (1 bit + 0 bits) / 2, empty one left out
     assert cluster_distance(assigned).first()["score"] == (1 + 1 + 1 + 2) / 4
-    again = center_distance(assigned.drop("distance"), centers_frame(spark, [(0, [1.0]), (1, [11.0])]))
-    assert sorted(map(str, again.collect())) == sorted(map(str, assigned.collect()))
+    centers = centers_frame(spark, [(0, [1.0]), (1, [11.0])])
+    for local_values in (1000, 1):
+        again = center_distance(assigned.drop("distance"), centers, local_values)
+        assert sorted(map(str, again.collect())) == sorted(map(str, assigned.collect()))
 
 
 @pytest.mark.parametrize("top", [1, 3, 7, 5000])

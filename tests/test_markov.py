@@ -301,7 +301,7 @@ def test_unknown_metric(spark):
 # --- properties -------------------------------------------------------------------------------
 
 
-@settings(max_examples=8, deadline=None)
+@settings(max_examples=5, deadline=None)
 @given(
     st.dictionaries(st.sampled_from("uvwxyz"), st.text("ABCD", min_size=1, max_size=12), min_size=1),
     st.sampled_from([1, 10, 100]),
