@@ -23,6 +23,7 @@ from strayline.operators.matrix import (
     matrix_set,
     matrix_to_string,
     row_stats,
+    state_domain,
 )
 from strayline.operators.sequences import build_sequences, state_pairs
 from strayline.plans.detect import detect_outliers
@@ -56,6 +57,12 @@ def q_mapping_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_field_spec(events, EVENT_SPEC, tiebreak="event_id")
 
 
+def q_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per declared state and its index."""
+    counts = event_states(spark, sf_dir).groupBy("site", "state").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(state_domain(spark, EVENT_STATES), "state").select("site", "state", "idx", "n")
+
+
 def _sequences(load) -> Query:
     return lambda spark, sf_dir: build_sequences(load(spark, sf_dir)).select(
         "site", "user", "part", F.array_join("states", ",").alias("states")
@@ -166,6 +173,7 @@ def q_score_by_other(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "field_mapping_orders": q_mapping_orders,
     "field_mapping_events": q_mapping_events,
+    "state_index": q_state_index,
     "state_sequences_events": _sequences(event_states),
     "state_sequences_orders": _sequences(order_states),
     "state_pairs_events": _pairs(event_states),
@@ -280,6 +288,9 @@ ORACLE = {
   epoch_us(o_orderdate) as timestamp, o_orderstatus as state from orders""",
     "field_mapping_events": """select 'all' as site, cast(user_id as varchar) as "user",
   epoch_us(ts) as timestamp, event_type as state, event_id as tiebreak from events""",
+    "state_index": f"""with {_E}, dom as (select unnest({EVENT_STATES}) as state,
+  unnest({list(range(len(EVENT_STATES)))}) as idx)
+select site, dom.state, idx, count(*) as n from st join dom on dom.state = st.state group by all""",
     "state_sequences_events": _sequences_oracle(_E),
     "state_sequences_orders": _sequences_oracle(_O),
     "state_pairs_events": _pairs_oracle(_E),

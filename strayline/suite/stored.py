@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strayline.operators.clusters import assign_nearest, top_per_cluster
 from strayline.plans.detect import run_detection
 from strayline.sources.readers import read_source
-from strayline.sources.loaders import load_states
+from strayline.sources.loaders import load_points, load_states
 from strayline.sources.specs import apply_field_spec, field_spec, register_fields
 from strayline.sources.store import (
     append_records,
@@ -17,7 +17,7 @@ from strayline.sources.store import (
     scratch_folder,
     write_results,
 )
-from strayline.suite import states
+from strayline.suite import points, states
 from strayline.suite.tables import (
     ASSIGNED_SQL,
     ORDER_SPEC,
@@ -25,6 +25,7 @@ from strayline.suite.tables import (
     embedding_points,
     mean_centers,
     rounded,
+    table,
 )
 
 RUN = "run-1"
@@ -33,8 +34,8 @@ RUN = "run-1"
 def q_results_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Farthest embeddings of each label mean, stored and read by their run."""
     store = scratch_folder(spark)
-    points = embedding_points(spark, sf_dir)
-    assigned = assign_nearest(points, mean_centers(points, F.col("label")))
+    vectors = embedding_points(spark, sf_dir)
+    assigned = assign_nearest(vectors, mean_centers(vectors, F.col("label")))
     write_results(top_per_cluster(assigned, 3), store, RUN, "vector")
     return read_results(spark, store, RUN, "vector").select(
         "uid", "cluster", "id", "label", rounded("distance").alias("distance")
@@ -63,6 +64,37 @@ def q_run_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _stored_cells(spark: SparkSession, sf_dir: str) -> str:
+    """The embeddings as a table of feature cells, tracked under the default column names."""
+    path = f"{scratch_folder(spark)}/cells"
+    cells = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row"),
+        F.col("label").cast("string").alias("label"),
+        F.posexplode(F.col("embedding").cast("array<double>")).alias("col", "value"),
+    )
+    create_store(spark, path, "row long, col long, label string, value double")
+    append_records(cells, path)
+    return path
+
+
+def q_load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells stored, read as a source with the default field spec, and assembled."""
+    return load_points(spark, "FILE", path=_stored_cells(spark, sf_dir)).select(
+        "id", "label", F.posexplode("features").alias("pos", "val")
+    )
+
+
+def q_run_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on the cells of the embeddings, with the stored parameters beside the result."""
+    store = scratch_folder(spark)
+    found = run_detection(
+        spark, store, RUN, "KMEANS", "FILE", {"path": _stored_cells(spark, sf_dir)},
+        top=3, iterations=10, strategy="distance",
+    )
+    top = read_params(spark, store, RUN).where("name = 'top'").select("value").scalar()
+    return found.withColumn("top", top.cast("int"))
+
+
 def q_registered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders read by a spec that was registered before."""
     store = scratch_folder(spark)
@@ -84,7 +116,9 @@ def q_store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "results_roundtrip_points": q_results_points,
+    "load_points": q_load_points,
     "run_markov_stored": q_run_markov,
+    "kmeans_run_stored": q_run_kmeans,
     "registered_fields": q_registered_fields,
     "store_append": q_store_append,
 }
@@ -96,6 +130,7 @@ ORACLE = {
 r as (select *, row_number() over (partition by cluster order by distance desc, id) as rn from a)
 select '{RUN}' as uid, cluster, id, label, round(distance, 6) + 0.0 as distance
 from r where rn <= 3""",
+    "load_points": points.ORACLE["assemble_points_embeddings"],
     "run_markov_stored": f"""with {_BY_PRIORITY}, {states.matrix_sql(ORDER_STATES, 100)},
 {states.scored_sql("missrate")}, f as ({states.flags_select(0.5)})
 select '{RUN}' as uid, site, "user", metric, flag, flag as again from f""",
