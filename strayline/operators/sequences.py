@@ -18,6 +18,8 @@ from typing import NamedTuple
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strayline.functions import epoch_micros
+
 # A sequence of at most this many events is never worth slicing.
 HOT_EVENTS = 1_000_000
 # Longest array of states in one row of `build_sequences`.
@@ -66,8 +68,9 @@ def split_events(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS)
     )
     is_hot = F.col("site").eqNullSafe(F.col("hot_site")) & F.col("user").eqNullSafe(F.col("hot_user"))
     cold = events.join(table, is_hot, "left_anti")
+    time = epoch_micros("timestamp", events.schema["timestamp"].dataType).cast("double")
     hot = events.join(table, is_hot, "left_semi").withColumn(
-        "_time", F.coalesce(F.col("timestamp").cast("double"), F.lit(_FIRST_SLICE))
+        "_time", F.coalesce(time, F.lit(_FIRST_SLICE))
     )
     share = max(hot_events, keys[0]["total"] // tasks)
     slices = max(2, min(tasks, ceil(sum(r["n"] for r in keys) / share)))

@@ -226,6 +226,25 @@ def test_hot_sequence_without_user_name_and_with_equal_timestamps(spark):
     assert sum(len(r["states"]) for r in scored) == 302
 
 
+def test_hot_events_with_a_timestamp_column(spark):
+    word = "".join(random.Random(9).choices("ABC", k=90))
+    events = events_frame(spark, {"u": word, "v": "AB"})
+    for kind in ("timestamp", "timestamp_ntz"):
+        typed = events.withColumn("timestamp", F.timestamp_seconds("timestamp").cast(kind))
+        split = split_events(typed, hot_events=10)
+        assert split.hot.select("slice").distinct().count() > 2
+        text = build_sequences(split).where("user = 'u'").orderBy("part").collect()
+        assert "".join("".join(r["states"]) for r in text) == word
+
+
+def test_events_without_time_come_first(spark):
+    rows = [("s", "u", t if t > 5 else None, t, "AB"[t % 2]) for t in range(60)]
+    events = spark.createDataFrame(rows, "site string, user string, timestamp long, tiebreak long, state string")
+    split = split_events(events, hot_events=10)
+    assert split.hot is not None
+    assert cells(transition_counts(split), "support") == {("A", "B"): 30, ("B", "A"): 29}
+
+
 def test_all_hot_events_at_one_time(spark):
     rows = [("s", "u", 5, t, "AB"[t % 2]) for t in range(60)]
     events = spark.createDataFrame(rows, "site string, user string, timestamp long, tiebreak long, state string")
