@@ -25,6 +25,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where a lambda in ``body`` refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -6,10 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strayline.llm.common import table
 from strayline.llm.decontaminate import overlaps
+from strayline.llm.html_main import extract
 from strayline.llm.line_dedup import line_classes
+from strayline.llm.line_rules import clean_lines
+from strayline.llm.masked_lm import score
 from strayline.llm.mixing import mix
 from strayline.llm.quality_gam import score_quality
 from strayline.llm.simhash import near_duplicates
+from strayline.llm.spans import remove_repeats
+from strayline.llm.toxicity import score_toxicity
+
+
+def q_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lose repeated runs, what is left of them, and who has the runs first."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.where("removed > 0").select("doc_id", "kept_doc_ids", "removed", "text")
+
+
+def q_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def q_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
+def q_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def q_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +65,16 @@ def q_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_spans": q_spans,
+    "op2_toxicity": q_toxicity,
+    "op3_masked_lm": q_masked_lm,
     "op4_mixing": q_mixing,
+    "op5_html": q_html,
     "op6_quality_gam": q_quality,
     "op7_line_dedup": q_line_dedup,
     "op8_decontamination": q_decontamination,
     "op9_simhash": q_simhash,
+    "op10_line_rules": q_line_rules,
 }
 
 ORACLE: dict[str, str] = {}
