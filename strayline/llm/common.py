@@ -48,7 +48,7 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges ``(u, v)``: rows ``(node, root)``.
 
-    ``root`` is the least node of the component; only nodes with an edge to another node appear.
+    ``root`` is the least node of the component; a node that is its own root has no row.
     Large stars and small stars take turns until nothing changes: each turn links nodes to smaller
     ones by a minimum per node, so that a node of any degree is a partial aggregate and one row on
     one side of a join. Neither nodes nor edges come to the driver, only their count and a hash.

@@ -154,21 +154,24 @@ def _regions(masks: list[str], bitmap: np.ndarray):
 
 
 def best_overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """Along a diagonal (word ``i`` of the item at ``i + shift``) the stretch with the most words
-    that agree beyond those that differ: words that agree, its length, and where it begins."""
+    """The stretch of a diagonal (word ``i`` of the item at ``i + shift``) with the most words that
+    agree, of those where at least AGREE do: these words, its length, and where it begins."""
     low, high = max(0, -shift), min(len(item), len(words) - shift)
     if high <= low:
         return 0, 0, 0
     same = words[low + shift : high + shift] == item[low:high]
-    # a word that differs costs what AGREE allows against words that agree
-    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -AGREE / (1 - AGREE)))])
-    least = np.minimum.accumulate(total)
-    end = int((total - least).argmax())
-    begin = int(total[: end + 1].argmin())
-    return int(same[begin:end].sum()), end - begin, begin + low
+    # a stretch is good if its sum is not negative: the sums before and after it tell
+    cost = round(AGREE / (1 - AGREE), 6)
+    total = np.concatenate([[0.0], np.cumsum(np.where(same, 1.0, -cost))])
+    agree = np.concatenate([[0], np.cumsum(same)])
+    begins = np.searchsorted(-np.minimum.accumulate(total), -total, side="left")
+    end = int((agree - agree[begins]).argmax())
+    begin = int(begins[end])
+    while begin < end and not same[begin]:
+        begin += 1
+    return int(agree[end] - agree[begin]), end - begin, begin + low
 
 
-@F.pandas_udf("struct<agree:int,length:int,at:int>")
 def _overlap(words: pd.Series, item: pd.Series, shift: pd.Series) -> pd.DataFrame:
     found = [best_overlap(np.asarray(w), np.asarray(i), int(s)) for w, i, s in zip(words, item, shift)]
     return pd.DataFrame(found, columns=["agree", "length", "at"])
@@ -223,7 +226,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     meetings = meetings.distinct()
     found = regions.select("region", "doc_id", "start", "words").dropDuplicates(["region"]).join(meetings, "region")
-    found = found.select("doc_id", "start", "shift", "item", _overlap("words", "item", "shift").alias("o"))
+    measured = F.pandas_udf(_overlap, "struct<agree:int,length:int,at:int>")
+    found = found.select("doc_id", "start", "shift", "item", measured("words", "item", "shift").alias("o"))
     need = F.least(F.lit(OVERLAP), F.size("item"))
     found = found.where((F.col("o.agree") >= need) & (F.col("o.agree") >= F.lit(AGREE) * F.col("o.length")))
     found = found.select("doc_id", "item", F.struct(

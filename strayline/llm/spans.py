@@ -73,7 +73,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the pieces that repeated runs cover; all other columns stay, and
-    ``removed`` (pieces) and ``kept_doc_ids`` (documents that have the removed runs first) follow.
+    ``removed`` (pieces) and ``kept_doc_ids`` (documents that have the removed runs first) follow, in place of columns of these names.
 
     Every run of RUN consecutive sentences is hashed, and all but its first occurrence go: another
     document's, or an earlier one in the same text. A document is told by its ``doc_id``: rows that
@@ -82,24 +82,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     stays empty.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    again = repeated_runs(docs).groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(
-        F.collect_set(F.struct("first", "last")).alias("_again"),
-        F.array_sort(F.collect_set("kept_doc_id")).alias("_kept"),
+    again = repeated_runs(docs).groupBy(F.col("doc_id").alias("__span_doc"), F.col("row").alias("__span_row")).agg(
+        F.collect_set(F.struct("first", "last")).alias("__span_again"),
+        F.array_sort(F.collect_set("kept_doc_id")).alias("__span_kept"),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.hash("text") == F.col("_row"))
-    rows = docs.join(again, same, "left").withColumn("_pieces", _pieces("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__span_doc")) & (F.hash("text") == F.col("__span_row"))
+    rows = docs.join(again, same, "left").withColumn("__span_pieces", _pieces("text"))
     inner = F.transform(
-        F.filter(_runs(F.col("_pieces")), lambda r: r["again"]),
+        F.filter(_runs(F.col("__span_pieces")), lambda r: r["again"]),
         lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")),
     )
-    outer = F.coalesce("_again", F.array().cast("array<struct<first:int,last:int>>"))
+    outer = F.coalesce("__span_again", F.array().cast("array<struct<first:int,last:int>>"))
     every = F.transform(F.concat(inner, outer), lambda r: F.sequence(r["first"], r["last"]))
-    rows = rows.withColumn("_covered", F.array_distinct(F.flatten(every)))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_pieces") - 1), "_covered")
-    text = F.array_join(F.transform(left, lambda i: F.get("_pieces", i)), "")
-    text = F.when(F.size("_covered") == 0, F.col("text")).otherwise(text)
+    rows = rows.withColumn("__span_covered", F.array_distinct(F.flatten(every)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("__span_pieces") - 1), "__span_covered")
+    text = F.array_join(F.transform(left, lambda i: F.get("__span_pieces", i)), "")
+    text = F.when(F.size("__span_covered") == 0, F.col("text")).otherwise(text)
     return rows.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
-        F.size("_covered").alias("removed"),
-        F.coalesce("_kept", F.array().cast(f"array<{id_type}>")).alias("kept_doc_ids"),
+        *[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("removed", "kept_doc_ids")],
+        F.size("__span_covered").alias("removed"),
+        F.coalesce("__span_kept", F.array().cast(f"array<{id_type}>")).alias("kept_doc_ids"),
     )

@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tup
     usable = labels.where(~is_held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1))
     totals = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = F.broadcast(labelled_sample(labels, "toxic", per_class))
-    rows = cut(docs.join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "label", "text").dropDuplicates(["_id"]))
+    rows = cut(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "label", "text").dropDuplicates(["_id"]))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, label int, places array<int>"
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes:
