@@ -21,23 +21,24 @@ def _runs(pieces: Column) -> Column:
     """Runs of a text in order: first and last piece, two hashes, and whether an equal run of the
     same text comes before. Pieces without a word belong to no run; a text of fewer than RUN others
     is one run."""
-    trimmed = F.transform(
-        pieces, lambda p, i: F.struct(i.alias("i"), F.lower(F.btrim(p, F.lit(" \t\r\n\x0b\x0c"))).alias("s"))
-    )
-    sentences = F.filter(trimmed, lambda x: x["s"] != "")
+    def piece(p: Column, i: Column) -> Column:
+        norm = F.lower(F.btrim(p, F.lit(" \t\r\n\x0b\x0c")))
+        return let(norm, lambda x: F.struct(
+            i.alias("i"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g")
+        ))
+
+    sentences = F.filter(F.transform(pieces, piece), lambda x: x["n"] > 0)
 
     def of(s: Column) -> Column:
         count = F.least(F.lit(RUN), F.size(s))
 
         def run(i: Column) -> Column:
-            part = F.array_join(F.transform(F.slice(s, i + 1, count), lambda x: x["s"]), " ")
-            return let(
-                part,
-                lambda t: F.struct(
-                    F.xxhash64(t).alias("h"), F.hash(t).alias("g"),
-                    F.get(s, i)["i"].alias("first"), F.get(s, i + count - 1)["i"].alias("last"),
-                    (F.regexp_count(t, F.lit(WORD)) >= FEWEST_WORDS).alias("long"),
-                ),
+            parts = [F.get(s, i + k) for k in range(RUN)]  # null beyond the end of a short text
+            words = sum((F.coalesce(x["n"], F.lit(0)) for x in parts[1:]), parts[0]["n"])
+            return F.struct(
+                F.xxhash64(*[x["h"] for x in parts]).alias("h"), F.hash(*[x["g"] for x in parts]).alias("g"),
+                parts[0]["i"].alias("first"), F.get(s, i + count - 1)["i"].alias("last"),
+                (words >= FEWEST_WORDS).alias("long"),
             )
 
         every = F.transform(F.sequence(F.lit(0), F.size(s) - count), run)
@@ -57,18 +58,19 @@ def _runs(pieces: Column) -> Column:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """Runs that another document has first: ``(doc_id, row, first, last, kept_doc_id)``.
+    """Runs that are not the first of their kind: ``(doc_id, row, first, last, kept_doc_id)``.
 
     ``row`` is a hash of the text, ``first`` and ``last`` are pieces of it, and ``kept_doc_id`` is
-    the least document with the run; there the run stays. A run that many documents share combines
-    before the shuffle to its least document, and meets the rest as one row on one side of a join.
+    the least document with the run, where its first occurrence stays. A run that many documents
+    share combines before the shuffle to its least document, and meets the rest as one row on one
+    side of a join.
     """
     runs = docs.select("doc_id", F.hash("text").alias("row"), F.explode(_runs(_pieces("text"))).alias("r"))
-    runs = runs.where(~F.col("r.again")).select("doc_id", "row", "r.h", "r.g", "r.first", "r.last")
-    least = runs.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id"))
-    least = least.where("n > 1 and kept_doc_id is not null").select("h", "g", "kept_doc_id")
-    is_other = ~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
-    return runs.join(least, ["h", "g"]).where(is_other).select("doc_id", "row", "first", "last", "kept_doc_id")
+    least = runs.groupBy("r.h", "r.g").agg(F.count("*").alias("n"), F.min("doc_id").alias("kept_doc_id"))
+    least = least.where("n > 1").select("h", "g", "kept_doc_id")
+    runs = runs.select("doc_id", "row", "r.h", "r.g", "r.first", "r.last", "r.again").join(least, ["h", "g"])
+    is_other = F.col("kept_doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
+    return runs.where(F.col("again") | is_other).select("doc_id", "row", "first", "last", "kept_doc_id")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -88,12 +90,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     same = F.col("doc_id").eqNullSafe(F.col("__span_doc")) & (F.hash("text") == F.col("__span_row"))
     rows = docs.join(again, same, "left").withColumn("__span_pieces", _pieces("text"))
-    inner = F.transform(
-        F.filter(_runs(F.col("__span_pieces")), lambda r: r["again"]),
-        lambda r: F.struct(r["first"].alias("first"), r["last"].alias("last")),
-    )
-    outer = F.coalesce("__span_again", F.array().cast("array<struct<first:int,last:int>>"))
-    every = F.transform(F.concat(inner, outer), lambda r: F.sequence(r["first"], r["last"]))
+    runs = F.coalesce("__span_again", F.array().cast("array<struct<first:int,last:int>>"))
+    every = F.transform(runs, lambda r: F.sequence(r["first"], r["last"]))
     rows = rows.withColumn("__span_covered", F.array_distinct(F.flatten(every)))
     left = F.array_except(F.sequence(F.lit(0), F.size("__span_pieces") - 1), "__span_covered")
     text = F.array_join(F.transform(left, lambda i: F.get("__span_pieces", i)), "")
