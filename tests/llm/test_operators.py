@@ -14,12 +14,39 @@ from strayline.llm import decontaminate, html_main, line_dedup, line_rules, mask
 from strayline.llm.common import components, is_held_out, table
 
 SF_LLM = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, words string, row int, _id int"
 
 
 def sentence(rng, n=8):
     return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(n)).capitalize() + "."
 
 
+@pytest.fixture(scope="session")
+def make(spark):
+    """Documents from ``{doc_id: text}`` or rows ``(doc_id, text, source)``, with columns in the way."""
+
+    def frame(rows):
+        rows = [(k, t, "s") for k, t in rows.items()] if isinstance(rows, dict) else rows
+        return spark.createDataFrame([(i, t, "en", s, 1, "x", "y", 2, 3) for i, t, s in rows], SCHEMA)
+
+    return frame
+
+
+@pytest.fixture(scope="session")
+def odd(make):
+    """Nulls, empty and long texts, repeated rows, blank lines, ties."""
+    rng = random.Random(1)
+    long = "\n".join(" ".join(sentence(rng) for _ in range(4)) for _ in range(400))
+    rows = [(1, None, "s"), (2, "", "s"), (3, "   \n\t\n", None), (4, long, "s"), (4, long, "s"), (5, "one", None)]
+    rows += [(None, "no id here at all", "s"), (None, None, None), (6, "two words", ""), (7, "a" * 50_000, "t"), (5, "other text of five", "t")]
+    return make(rows)
+
+
+@pytest.fixture(scope="session")
+def no_docs(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
 def roots_of(nodes, edges):
     parent = {n: n for n in nodes}
 
