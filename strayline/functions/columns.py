@@ -11,9 +11,11 @@ def _col(c: Column | str) -> Column:
 
 
 def euclidean(a: Column | str, b: Column | str) -> Column:
-    """Euclidean distance of two equally long arrays of doubles."""
+    """Euclidean distance of two arrays of doubles; arrays of unequal length are an error."""
     squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
+    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x))
+    unequal = F.raise_error(F.lit("vectors of unequal length")).cast("double")
+    return F.when(F.size(a) != F.size(b), unequal).otherwise(distance)
 
 
 def entropy_term(p: Column | str) -> Column:

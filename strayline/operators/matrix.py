@@ -104,11 +104,20 @@ def matrix_increment(matrix: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def matrix_set(matrix: DataFrame, values: DataFrame) -> DataFrame:
-    """Overwrite the cells named by ``(src, dst, p)``."""
-    new = values.select("src", "dst", F.col("p").alias("_new"))
-    return matrix.join(new, ["src", "dst"], "left").select(
-        "src", "dst", "src_idx", "dst_idx", F.coalesce("_new", "p").alias("p")
+    """Overwrite the cells named by ``(src, dst, p)``; a cell that the matrix lacks or that is named
+    twice is an error."""
+    new = values.groupBy("src", "dst").agg(F.max("p").alias("_new"), F.count("*").alias("_n"))
+    joined = matrix.join(new, ["src", "dst"], "full")
+    cell = F.concat_ws(" -> ", "src", "dst")
+    unknown = F.raise_error(F.concat(F.lit("no such cell: "), cell)).cast("double")
+    twice = F.raise_error(F.concat(F.lit("cell set twice: "), cell)).cast("double")
+    p = (
+        F.when(F.col("src_idx").isNull(), unknown)
+        .when(F.col("_n") > 1, twice)
+        .when(F.col("_n") == 1, F.col("_new"))
+        .otherwise(F.col("p"))
     )
+    return joined.select("src", "dst", "src_idx", "dst_idx", p.alias("p"))
 
 
 def matrix_to_string(matrix: DataFrame) -> DataFrame:
@@ -123,10 +132,18 @@ def matrix_to_string(matrix: DataFrame) -> DataFrame:
 
 
 def matrix_from_string(df: DataFrame, states: str | Sequence[str], column: str = "matrix") -> DataFrame:
-    """Read the text form back, with the labels of ``states``."""
-    names = states_array(parse_states(states))
-    rows = df.select(F.posexplode(F.split(column, ";")).alias("src_idx", "line"))
-    cells = rows.select("src_idx", F.posexplode(F.split("line", ",")).alias("dst_idx", "cell"))
+    """Read the text form back, with the labels of ``states``; rows or cells that are not as many
+    as the states are an error."""
+    labels = parse_states(states)
+    names = states_array(labels)
+
+    def parts(text: str, sep: str) -> Column:
+        found = F.split(text, sep)
+        ragged = F.raise_error(F.lit(f"matrix text does not have {len(labels)} rows of as many cells"))
+        return F.when(F.size(found) != len(labels), ragged.cast("array<string>")).otherwise(found)
+
+    rows = df.select(F.posexplode(parts(column, ";")).alias("src_idx", "line"))
+    cells = rows.select("src_idx", F.posexplode(parts("line", ",")).alias("dst_idx", "cell"))
     return cells.select(
         F.get(names, F.col("src_idx")).alias("src"),
         F.get(names, F.col("dst_idx")).alias("dst"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def assemble_points(cells: DataFrame) -> DataFrame:
@@ -72,15 +72,16 @@ def _summary(points: DataFrame) -> DataFrame:
 
 def feature_stats(points: DataFrame) -> DataFrame:
     """Per feature: ``(pos, n, total, mean, stdev)`` with the population standard deviation."""
-    return _summary(points).select(
-        "n", F.posexplode(F.arrays_zip("mean", "stdev")).alias("pos", "f")
-    ).select(
-        "pos",
-        "n",
-        (F.col("f.mean") * F.col("n")).alias("total"),
-        F.col("f.mean").alias("mean"),
-        F.col("f.stdev").alias("stdev"),
+    stats = points.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(
+        F.count("*").alias("n"),
+        F.sum("x").alias("total"),
+        F.avg("x").alias("mean"),
+        F.stddev_pop("x").alias("stdev"),
     )
+    most = F.max("n").over(Window.partitionBy())  # one row per feature
+    unequal = F.raise_error(F.lit("points have vectors of unequal length")).cast("long")
+    n = F.when(F.col("n") == most, F.col("n")).otherwise(unequal)
+    return stats.select("pos", n.alias("n"), "total", "mean", "stdev")
 
 
 def zscore(points: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def run_detection(
     """Read a source, detect, store results and parameters under ``uid``, return the stored rows.
 
     The field spec registered for ``uid`` applies, else the default one. A ``uid`` that already
-    has results is refused before anything runs.
+    has results is refused before anything runs; a run that fails leaves none and can be repeated.
     """
     check_params(algorithm, params)
     kind = _RESULT_KIND[algorithm]
@@ -63,6 +63,6 @@ def run_detection(
     load = load_points if algorithm == "KMEANS" else load_states
     data = load(spark, source, field_spec(spark, store, uid, kind), **source_options)
     stored = {n: (t, params[n]) for n, t in STORED[algorithm].items()}
-    write_params(spark, store, uid, stored)
     write_results(detect_outliers(data, algorithm, **params), store, uid, kind)
+    write_params(spark, store, uid, stored)
     return read_results(spark, store, uid, kind)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from math import ceil
 from typing import NamedTuple
 
 from pyspark import StorageLevel, inheritable_thread_target
@@ -26,8 +25,8 @@ SEED = 42
 PARALLEL_FITS = 4
 # Up to this many feature values (about 2 GB with overhead) each fit may keep its own copy.
 OWN_COPY_VALUES = 100_000_000
-# Feature values that are worth a task of their own.
-TASK_VALUES = 100_000
+# Partitions of the points that a fit reads, at every size; more for larger input.
+FIT_PARTITIONS = 32
 
 
 def check_strategy(strategy: str) -> str:
@@ -57,27 +56,26 @@ class Kept(NamedTuple):
     rows: int
 
 
+def dealt(vectors: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The layout that a fit reads: dealt by ``id`` into so many partitions and ordered in them,
+    whatever the source's files and the cluster's cores are, for a fit depends on it."""
+    return vectors.repartition(partitions, "id").sortWithinPartitions("id", "label")
+
+
 @contextmanager
-def _kept(vectors: DataFrame) -> Iterator[Kept]:
+def _kept(vectors: DataFrame, partitions: int = FIT_PARTITIONS) -> Iterator[Kept]:
     """Keep the vectors while fits read them; a lost block is computed again.
 
     All fits share this one compact copy. Only up to a fixed size does each fit also keep its own
     copy of unpacked vectors, which Spark does when the frame it is given is not cached itself.
-    Input in too few partitions for its size is spread over the cores once.
     """
-    cached = [vectors.persist(StorageLevel.MEMORY_AND_DISK)]
+    kept = dealt(vectors, partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first = cached[0].agg(F.count(F.lit(1)).alias("n"), F.first("vector").alias("v")).first()
+        first = kept.agg(F.count(F.lit(1)).alias("n"), F.first("vector").alias("v")).first()
         values = first["n"] * (first["v"].size if first["n"] else 0)
-        cores = vectors.sparkSession.sparkContext.defaultParallelism
-        wanted = min(cores, ceil(values / TASK_VALUES))
-        if cached[0].rdd.getNumPartitions() < wanted:
-            cached.append(cached[0].repartition(wanted).persist(StorageLevel.MEMORY_AND_DISK))
-        kept = cached[-1]
         yield Kept(kept, kept.select("vector") if values <= OWN_COPY_VALUES else kept, first["n"])
     finally:
-        for frame in reversed(cached):
-            frame.unpersist()
+        kept.unpersist()
 
 
 def _fit_all(kept: Kept, ks: Sequence[int], iterations: int) -> dict[int, KMeansModel]:
@@ -126,7 +124,8 @@ def score_models(vectors: DataFrame, models: dict[int, KMeansModel], strategy: s
 
 
 def sweep_k(
-    points: DataFrame, strategy: str, iterations: int, ks: Sequence[int] = SWEEP_KS
+    points: DataFrame, strategy: str, iterations: int, ks: Sequence[int] = SWEEP_KS,
+    partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
     """Score every k: ``(k, score)``, less is better.
 
@@ -135,7 +134,7 @@ def sweep_k(
     - ``distance``: mean distance of the points to their center, which falls as k grows
     """
     check_strategy(strategy)
-    with _kept(with_vector(points)) as kept:
+    with _kept(with_vector(points), partitions) as kept:
         models = _fit_all(kept, ks, iterations) if kept.rows else {}
         scores = score_models(kept.vectors, models, strategy).collect() if models else []
         rows = [(r["k"], r["score"]) for r in scores]
@@ -155,12 +154,12 @@ def _choose(
 
 def prepare(
     points: DataFrame, strategy: str = "entropy", iterations: int = 20,
-    ks: Sequence[int] = SWEEP_KS,
+    ks: Sequence[int] = SWEEP_KS, partitions: int = FIT_PARTITIONS,
 ) -> tuple[int, DataFrame]:
     """Normalize the points and choose k; returns ``(k, normalized points)``."""
     check_strategy(strategy)
     normalized = zscore(points)
-    with _kept(with_vector(normalized)) as kept:
+    with _kept(with_vector(normalized), partitions) as kept:
         chosen = _choose(kept, strategy, iterations, ks)
     return (chosen[0] if chosen else min(ks)), normalized
 
@@ -176,14 +175,16 @@ def assign_by_model(vectors: DataFrame, model: KMeansModel) -> DataFrame:
     )
 
 
-def detect_kmeans(normalized: DataFrame, k: int, iterations: int, top: int) -> DataFrame:
+def detect_kmeans(
+    normalized: DataFrame, k: int, iterations: int, top: int, partitions: int = FIT_PARTITIONS
+) -> DataFrame:
     """Fit ``k`` clusters and return the ``top`` farthest points of each.
 
     Result: ``(cluster, distance, id, label, features)``. Only the fit runs at once, the result is
     lazy.
     """
     vectors = with_vector(normalized)
-    with _kept(vectors) as kept:
+    with _kept(vectors, partitions) as kept:
         model = fit_kmeans(kept.to_fit, k, iterations) if kept.rows else None
     if model is None:
         return _none_found(normalized)
@@ -192,7 +193,7 @@ def detect_kmeans(normalized: DataFrame, k: int, iterations: int, top: int) -> D
 
 def find_kmeans_outliers(
     points: DataFrame, strategy: str = "entropy", *, iterations: int, top: int,
-    ks: Sequence[int] = SWEEP_KS,
+    ks: Sequence[int] = SWEEP_KS, partitions: int = FIT_PARTITIONS,
 ) -> DataFrame:
     """Normalize, choose k, and return the ``top`` farthest points of each cluster.
 
@@ -200,7 +201,7 @@ def find_kmeans_outliers(
     """
     check_strategy(strategy)
     vectors = with_vector(zscore(points))
-    with _kept(vectors) as kept:
+    with _kept(vectors, partitions) as kept:
         chosen = _choose(kept, strategy, iterations, ks)
     if chosen is None:
         return _none_found(points)

@@ -7,7 +7,6 @@ writing one is a single job that commits as a whole.
 from __future__ import annotations
 
 import re
-from tempfile import mkdtemp
 from typing import Any
 from uuid import uuid4
 
@@ -59,8 +58,8 @@ def read_results(spark: SparkSession, store: str, uid: str, kind: str) -> DataFr
 
 
 def check_new(spark: SparkSession, store: str, uid: str) -> None:
-    """Raise ValueError if a run of this ``uid`` has been stored or has written its parameters."""
-    for table in ("params", *RESULT_TABLES.values()):
+    """Raise ValueError if a run of this ``uid`` has stored its result."""
+    for table in RESULT_TABLES.values():
         try:
             read_table(spark, store, table, uid)
         except LookupError:
@@ -98,6 +97,6 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name under the shared folder of the cluster; machine-local only without one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/strayline-{uuid4().hex}" if shared else mkdtemp(prefix="strayline-")
+    """A new folder name under the shared folder of the cluster, or else under the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.rstrip('/')}/strayline-{uuid4().hex}"

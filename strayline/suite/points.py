@@ -218,7 +218,41 @@ def q_detect_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SEPARATE = 10
+
+
+def separated_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings moved far apart by label: the best clustering is known, one cluster per residue."""
+    moved = F.transform(
+        "features",
+        lambda x, i: x + F.when(i % SEPARATE == F.col("label").cast("int") % SEPARATE, 1000.0).otherwise(0.0),
+    )
+    return embedding_points(spark, sf_dir).withColumn("features", moved)
+
+
+def _far(found: DataFrame) -> DataFrame:
+    return found.select("id", "label", rounded("distance").alias("distance"))
+
+
+def q_detect_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _far(detect_kmeans(zscore(separated_points(spark, sf_dir)), SEPARATE, ITERATIONS, TOP))
+
+
+def q_find_separated_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both ways to choose k take the number of true clusters."""
+    points = separated_points(spark, sf_dir)
+    return _far(find_kmeans_outliers(points, "entropy", iterations=ITERATIONS, top=TOP, ks=(2, SEPARATE)))
+
+
+def q_find_separated_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = separated_points(spark, sf_dir)
+    return _far(find_kmeans_outliers(points, "distance", iterations=ITERATIONS, top=TOP, ks=(2, SEPARATE)))
+
+
 QUERIES = {
+    "kmeans_detect_separated": q_detect_separated,
+    "kmeans_find_separated_entropy": q_find_separated_entropy,
+    "kmeans_find_separated_distance": q_find_separated_distance,
     "feature_stats": q_feature_stats,
     "feature_stats_embeddings": q_feature_stats_embeddings,
     "zscore": q_zscore,
@@ -333,3 +367,17 @@ n as (select k, cluster, label, count(*) as n, sum(count(*)) over (partition by
 h as (select k, cluster, {_ENTROPY_SQL} as h from n group by k, cluster)
 select k, round(avg(h), 6) + 0.0 as score from h group by k order by avg(h), k limit 1""",
 }
+
+_SEPARATED = f"""with {EMBEDDING_SQL},
+m as (select id, label, cluster % {SEPARATE} as g, pos,
+  x + case when (pos - 1) % {SEPARATE} = cluster % {SEPARATE} then 1000 else 0 end as x from e),
+s as (select pos, avg(x) as mean, stddev_pop(x) as sd from m group by pos),
+z as (select id, label, g, pos, (x - mean) / case when sd > 0 then sd else 1 end as z from m join s using (pos)),
+c as (select g, pos, avg(z) as c from z group by all),
+d as (select id, label, g, sqrt(sum((z - c) * (z - c))) as distance from z join c using (g, pos) group by all),
+r as (select *, row_number() over (partition by g order by distance desc, id) as rn from d)
+select id, label, round(distance, 6) + 0.0 as distance from r where rn <= {TOP}"""
+ORACLE |= {
+    name: _SEPARATED
+    for name in ("kmeans_detect_separated", "kmeans_find_separated_entropy", "kmeans_find_separated_distance")
+}

@@ -10,7 +10,7 @@ from strayline.operators.vectors import with_vector, zscore
 from strayline.plans import kmeans
 from strayline.plans.detect import detect_outliers
 from strayline.plans.kmeans import (
-    assign_by_model, detect_kmeans, find_kmeans_outliers, fit_kmeans, model_centers, prepare,
+    assign_by_model, dealt, detect_kmeans, find_kmeans_outliers, fit_kmeans, model_centers, prepare,
     score_models, sweep_k,
 )
 
@@ -36,7 +36,7 @@ def test_detect_finds_the_far_points(blobs):
 def test_invariants_of_a_fit(blobs):
     normalized = zscore(blobs)
     vectors = with_vector(normalized)
-    model = fit_kmeans(vectors, 6, 10)
+    model = fit_kmeans(dealt(vectors), 6, 10)
     assigned = assign_by_model(vectors, model).collect()
     centers = [list(map(float, c)) for c in model.clusterCenters()]
     assert len(assigned) == 123
