@@ -110,9 +110,9 @@ def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _regions(masks: list[str], bitmap: np.ndarray):
-    """Parts of texts that may hold an item: windows whose hash is in the bitmap, with the words
+    """Parts of texts that may hold an item: windows whose hash has both its bits set, with the words
     around them, in one row for windows that are near each other."""
-    shift = np.uint64(64 - _BITMAP_BITS)
+    shift, low_bits = np.uint64(64 - _BITMAP_BITS), np.uint64((1 << _BITMAP_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,6 +123,7 @@ def _regions(masks: list[str], bitmap: np.ndarray):
                 for mask in masks:
                     h = window_hashes(hashes, mask)
                     k = np.flatnonzero(bitmap[h >> shift])
+                    k = k[bitmap[h[k] & low_bits]]
                     text_of = np.searchsorted(begins, k, side="right") - 1
                     k = k[k + len(mask) <= begins[text_of + 1]]
                     found_at.append(k)
@@ -202,9 +203,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     items = cut(items.where(F.size("item") >= SHORTEST))
     windows = cut(items.select("item").distinct().mapInPandas(_item_windows, "hash long, item_at long, item array<long>"))
-    place = F.shiftrightunsigned("hash", 64 - _BITMAP_BITS)
+    places = F.array(
+        F.shiftrightunsigned("hash", 64 - _BITMAP_BITS), F.col("hash").bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
+    )
     cells = (
-        windows.select(place.alias("place"))
+        windows.select(F.explode(places).alias("place"))
         .selectExpr("place >> 6 as cell", "1L << cast(place & 63 as int) as bit")
         .groupBy("cell")
         .agg(F.bit_or("bit").alias("bits"))
