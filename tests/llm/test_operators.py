@@ -152,6 +152,27 @@ def test_line_classes(make):
     assert got == {p: first[root[x]] for x, places in at.items() for p in places}
 
 
+def test_line_classes_around_a_pivot(make):
+    """Lines that stay near the limit of each other, each unlike a common form in its own places."""
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("stra", "mel", "por") for b in ("tin", "ul") for c in ("do", "nek", "va")]
+    base = [rng.choice(words) for _ in range(45)]
+    texts = {}
+    for i in range(120):
+        line = list(base)
+        for _ in range(rng.randrange(4, 9)):
+            line[rng.randrange(len(line))] = rng.choice(words[:6])
+        texts[i] = " ".join(line)
+    width = line_dedup.WIDTH
+    sets = {i: {t[k : k + width] for k in range(len(t) - width + 1)} for i, t in texts.items()}
+    links = [(i, k) for i, k in combinations(texts, 2) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+    root = roots_of(texts, links)
+    least = {r: min(i for i in texts if root[i] == r) for r in set(root.values())}
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.line_classes(make(texts)).collect()}
+    assert got == {i: least[root[i]] for i in texts}
+    assert 1 < len(least) < len(texts)
+
+
 def test_dedup_lines(make, odd, no_docs):
     line = "This line is long enough to be compared with another line."
     docs = make({1: f"{line}\nOwn text of the first.", 2: f"\n{line}\n", 3: f"{line.upper()}\n\nOwn text of the third."})
