@@ -15,17 +15,20 @@ from strayline.operators.sequences import (
     SEQUENCE,
     SplitEvents,
     all_steps,
+    in_parts,
     ordered_steps,
-    part_number,
-    part_states,
-    seams,
+    same_keys,
+    sliced_steps,
     split_events,
     state_pairs,
 )
+from strayline.sources.store import write_scratch
 
 METRICS = ("missprob", "missrate", "entreduc")
 # A matrix of up to this many cells (about 100 MB) is broadcast to the scoring tasks.
 BROADCAST_CELLS = 1_000_000
+# Salts of a larger one: each of its rows is copied so often, and steps of one pair are dealt so far.
+SALTS = 32
 
 
 def transition_counts(events: DataFrame | SplitEvents) -> DataFrame:
@@ -86,6 +89,9 @@ def step_terms(matrix: DataFrame, states: Sequence[str], metric: str) -> DataFra
     """
     declared = matrix.where(F.col("src").isin(states) & F.col("dst").isin(states))
     row = Window.partitionBy("src")
+    twice = F.raise_error(F.concat(F.lit("matrix cell given twice in row "), F.col("src")))
+    distinct = F.size(F.collect_set("dst").over(row)) == F.count("dst").over(row)
+    declared = declared.withColumn("p", F.when(distinct, F.col("p")).otherwise(twice.cast("double")))
     cells = declared.select(
         "src",
         F.sum("p").over(row).alias("row_sum"),
@@ -116,22 +122,28 @@ def _with_terms(steps: DataFrame, terms: DataFrame, states: Sequence[str]) -> Da
     """Add the columns ``num`` and ``den``: NULL for a row that is no step.
 
     A step takes one lookup, whatever the number of states. The lookup table has exactly
-    ``n * (n + 1)`` rows for ``n`` declared states and is broadcast up to a fixed size. A source
-    state without a matrix row is an error.
+    ``n * (n + 1)`` rows for ``n`` declared states and is broadcast up to a fixed size. Beyond, the
+    steps meet it by pair and salt, so that a frequent pair is dealt over SALTS tasks. A source
+    state without a matrix row, or a declared target without its cell, is an error.
     """
+    target = F.when(F.col("state").isin(states), F.col("state"))
+    steps_at = steps.withColumn("_prev", F.col("prev.state")).withColumn("_target", target)
+    same = (F.col("_prev") == F.col("_src")) & F.col("_target").eqNullSafe(F.col("_dst"))
     if len(states) ** 2 <= BROADCAST_CELLS:
         terms = F.broadcast(terms)
-    target = F.when(F.col("state").isin(states), F.col("state"))
-    looked = steps.withColumn("_prev", F.col("prev.state")).withColumn("_target", target).join(
-        terms,
-        (F.col("_prev") == F.col("_src")) & F.col("_target").eqNullSafe(F.col("_dst")),
-        "left",
-    )
-    unknown = F.concat(F.lit("state not declared: "), F.coalesce("_prev", F.lit("NULL")))
+    else:
+        salt = F.pmod(F.hash(*KEYS, "pos"), F.lit(SALTS))
+        steps_at = steps_at.withColumn("_step_salt", salt)
+        terms = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = same & (F.col("_step_salt") == F.col("_salt"))
+    looked = steps_at.join(terms, same, "left")
+    pair = F.concat_ws(" > ", F.coalesce("_prev", F.lit("NULL")), "_target")
+    message = F.when(F.col("_prev").isin(states), "no matrix cell for step: ").otherwise("state not declared: ")
     failed = F.col("prev").isNotNull() & F.col("_src").isNull()
     return looked.select(
         *steps.columns,
-        F.when(failed, F.raise_error(unknown).cast("double")).otherwise(F.col("_num")).alias("num"),
+        F.when(failed, F.raise_error(F.concat(message, pair)).cast("double"))
+        .otherwise(F.col("_num")).alias("num"),
         F.col("_den").alias("den"),
     )
 
@@ -185,42 +197,32 @@ def score_sequences(
 ) -> DataFrame:
     """Score and flag every sequence: ``(site, user, part, states, metric, flag)``.
 
-    All sequences are returned, flagged ``yes`` if the metric is above the threshold. The rows of
-    a sequence in several parts (see `build_sequences`) all carry the metric of the whole.
+    All sequences are returned, flagged ``yes`` if the metric is above the threshold. The states
+    come in parts (see `build_sequences`); metric and flag stand in the row of part 0, once per
+    sequence whatever its length, and are NULL in the rows that continue its states.
 
     Events are shuffled once: order, lookups, parts and the sums per sequence all work on the
-    partitioning by (site, user). Only the totals of sliced sequences are brought together by a
-    join, whose small side has at most one row per shuffle partition.
+    partitioning by (site, user). The parts of hot sequences are written once with their sums,
+    from which the totals come.
     """
     names = parse_states(states)
     lookup = step_terms(matrix, names, metric)
-    cold, hot = split_events(events, hot_events)
-
-    def parts(steps: DataFrame, sliced: bool) -> DataFrame:
-        keys = [*KEYS, "slice"] if sliced else KEYS
-        return (
-            steps.withColumn("part", part_number(part_events, sliced))
-            .groupBy(*keys, "part")
-            .agg(part_states().alias("states"), F.sum("num").alias("num"), F.sum("den").alias("den"))
-        )
+    split = split_events(events, hot_events)
+    sums = [F.sum("num").alias("num"), F.sum("den").alias("den")]
+    first = F.col("part") == 0
 
     whole = Window.partitionBy(*KEYS)
-    scored = parts(_with_terms(ordered_steps(cold, KEYS), lookup, names), False).select(
-        *SEQUENCE, "part", "states",
-        _metric(F.sum("num").over(whole), F.sum("den").over(whole)).alias("metric"),
-    )
-    if hot is not None:
-        inner = _with_terms(ordered_steps(hot, [*KEYS, "slice"]), lookup, names)
-        across = _with_terms(seams(hot), lookup, names)
-        sums = [*KEYS, "num", "den"]
-        totals = (
-            inner.select(*sums).unionByName(across.select(*sums))
-            .groupBy(F.col("site").alias("_site"), F.col("user").alias("_user"))
-            .agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
-        )
-        same = F.col("site").eqNullSafe(F.col("_site")) & F.col("user").eqNullSafe(F.col("_user"))
-        scored = scored.unionByName(
-            parts(inner, True).join(F.broadcast(totals), same)
-            .select(*SEQUENCE, "part", "states", "metric")
+    total = _metric(F.sum("num").over(whole), F.sum("den").over(whole))
+    columns = [*SEQUENCE, "part", "states", F.when(first, F.col("metric")).alias("metric")]
+    parts = in_parts(_with_terms(ordered_steps(split.cold, KEYS), lookup, names), part_events, *sums)
+    scored = parts.withColumn("metric", total).select(*columns)
+    if split.hot is not None:
+        parts = write_scratch(
+            in_parts(_with_terms(sliced_steps(split.hot), lookup, names), part_events, *sums)
         )
-    return scored.withColumn("flag", outlier_flag("metric", threshold))
+        totals = parts.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
+        totals = totals.select(*[F.col(c).alias(f"_of_{c}") for c in KEYS], "metric")
+        hot = parts.join(totals, first & same_keys("", "_of_", KEYS), "left")
+        scored = scored.unionByName(hot.select(*columns))
+    flag = F.when(first, outlier_flag("metric", threshold))
+    return scored.withColumn("flag", flag)

@@ -6,8 +6,9 @@ form a sequence.
 
 Ordering a sequence needs its rows in one place. To keep that true for a sequence that holds a
 large part of all rows, such *hot* sequences are found by a count first and cut into slices of
-time; slices are ordered on their own and the pairs across their seams are added from the first
-and last state of each slice. Everything else is ordered as a whole.
+their order; slices are ordered on their own, and each gets the position it starts at and the
+state before it from the sizes and last states of the slices. So a step has the same position
+and the same previous state on both paths.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ from __future__ import annotations
 from math import ceil
 from typing import NamedTuple
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from strayline.functions import epoch_micros
+from strayline.sources.store import write_scratch
 
-# A sequence of at most this many events is never worth slicing.
+# A sequence of more events than this is cut into slices of about this many.
 HOT_EVENTS = 1_000_000
 # Longest array of states in one row of `build_sequences`.
 PART_EVENTS = 10_000
@@ -28,99 +28,107 @@ PART_EVENTS = 10_000
 # The user leads: it tells rows apart in the first bytes that a sort compares.
 KEYS = ["user", "site"]
 SEQUENCE = ["site", "user"]
-_FIRST_SLICE = -1.7e308
 
 
 class SplitEvents(NamedTuple):
-    """Events apart by the size of their sequence; ``hot`` is None if no sequence is hot."""
+    """Events apart by the size of their sequence; ``hot`` is None if no sequence is hot.
+
+    A hot event has the number of its ``slice``, the position at which the slice starts in its
+    sequence, and the state before it: ``start, before``.
+    """
 
     cold: DataFrame
     hot: DataFrame | None
 
 
+def same_keys(a: str, b: str, columns: list[str]) -> Column:
+    """Equal sequence keys in columns with the prefixes ``a`` and ``b``; NULL equals NULL."""
+    parts = [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in columns]
+    same = parts[0]
+    for part in parts[1:]:
+        same = same & part
+    return same
+
+
 def split_events(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS) -> SplitEvents:
-    """Separate the hot sequences and give their events a ``slice`` number.
+    """Separate the sequences of more than ``hot_events`` events and give their events a ``slice``.
 
-    A sequence is hot if it is longer than ``hot_events`` and than an even share of all events
-    over the shuffle partitions. So there are never more hot sequences than shuffle partitions,
-    which is what bounds the key list held by the driver and broadcast below. Slices are quantiles
-    of the timestamps of all hot events: no slice of any sequence exceeds about one share.
+    Slices are ranges of the whole order, so that events of one timestamp are cut too; events
+    equal in all of it are interchangeable and told apart by a random number. The sliced events
+    are written to the shared folder once, for every later step has to see the same slices. The
+    table of hot sequences stays a DataFrame: at most one row per ``hot_events`` events.
     """
     if isinstance(events, SplitEvents):
         return events
-    spark = events.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = events.agg(F.count(F.lit(1))).scalar()
     sizes = events.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
-    longest = sizes.withColumn("total", total).where(
-        (F.col("n") > hot_events) & (F.col("n") * tasks > F.col("total"))
-    )
-    keys = longest.collect()
-    if not keys:
+    keys = sizes.where(F.col("n") > hot_events)
+    keys = keys.select(*[F.col(c).alias(f"_hot_{c}") for c in KEYS], "n").persist()
+    found = keys.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("events")).first()
+    if not found["keys"]:
+        keys.unpersist()
         return SplitEvents(events, None)
+    is_hot = same_keys("", "_hot_", KEYS)
+    slices = ceil(found["events"] / hot_events)
+    ranged = (
+        events.join(keys, is_hot, "left_semi")
+        .withColumn("_salt", F.rand(0))
+        .repartitionByRange(slices, *KEYS, *_order_names(events), "_salt")
+    )
+    hot = write_scratch(ranged.withColumn("slice", F.spark_partition_id()).drop("_salt"))
+    return SplitEvents(events.join(keys, is_hot, "left_anti"), _with_starts(hot))
 
-    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    table = F.broadcast(
-        spark.createDataFrame(
-            [(r["site"], r["user"]) for r in keys],
-            f"hot_site {types['site']}, hot_user {types['user']}",
-        )
+
+def _with_starts(hot: DataFrame) -> DataFrame:
+    """Add ``start`` and ``before`` of the slices, a written table whose size Spark knows when it
+    chooses the join."""
+    at = F.struct(*_order_names(hot))
+    ends = hot.groupBy(*KEYS, "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.struct(F.max(at)["state"].alias("state")).alias("last")
     )
-    is_hot = F.col("site").eqNullSafe(F.col("hot_site")) & F.col("user").eqNullSafe(F.col("hot_user"))
-    cold = events.join(table, is_hot, "left_anti")
-    time = epoch_micros("timestamp", events.schema["timestamp"].dataType).cast("double")
-    hot = events.join(table, is_hot, "left_semi").withColumn(
-        "_time", F.coalesce(time, F.lit(_FIRST_SLICE))
+    w = Window.partitionBy(*KEYS).orderBy("slice")
+    earlier = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    keys = [*KEYS, "slice"]
+    starts = write_scratch(
+        ends.select(
+            *[F.col(c).alias(f"_of_{c}") for c in keys],
+            F.coalesce(earlier, F.lit(0)).alias("start"),
+            F.lag("last").over(w).alias("before"),
+        )
     )
-    share = max(hot_events, keys[0]["total"] // tasks)
-    slices = max(2, min(tasks, ceil(sum(r["n"] for r in keys) / share)))
-    cut = QuantileDiscretizer(
-        numBuckets=slices, inputCol="_time", outputCol="slice", relativeError=1 / (8 * slices)
-    ).fit(hot)
-    sliced = cut.transform(hot).withColumn("slice", F.col("slice").cast("int")).drop("_time")
-    return SplitEvents(cold, sliced)
+    return hot.join(starts, same_keys("", "_of_", keys)).select(*hot.columns, "start", "before")
 
 
-def _order(events: DataFrame) -> list[Column]:
-    names = ["timestamp", "tiebreak", "state"] if "tiebreak" in events.columns else ["timestamp", "state"]
-    return [F.col(n).asc() for n in names]
+def _order_names(events: DataFrame) -> list[str]:
+    return [c for c in ("timestamp", "tiebreak", "state") if c in events.columns]
 
 
-def ordered_steps(events: DataFrame, keys: list[str]) -> DataFrame:
+def ordered_steps(events: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """Each event with its position and a struct of the state before it (NULL at the start)."""
-    w = Window.partitionBy(*keys).orderBy(*_order(events))
+    w = Window.partitionBy(*keys).orderBy(*[F.asc(c) for c in _order_names(events)])
     return events.select(
         *keys,
         "state",
-        (F.row_number().over(w) - 1).alias("pos"),
+        (F.row_number().over(w) - 1).cast("long").alias("pos"),
         F.lag(F.struct("state")).over(w).alias("prev"),
+        *more,
     )
 
 
-def seams(hot: DataFrame) -> DataFrame:
-    """The steps from the last state of a slice to the first state of the sequence's next slice."""
-    at = F.struct(*[c for c in ("timestamp", "tiebreak", "state") if c in hot.columns])
-    ends = hot.groupBy(*KEYS, "slice").agg(
-        F.min(at)["state"].alias("state"), F.struct(F.max(at)["state"].alias("state")).alias("last")
-    )
-    w = Window.partitionBy(*KEYS).orderBy("slice")
-    return ends.select(*KEYS, "state", F.lag("last").over(w).alias("prev")).where(
-        F.col("prev").isNotNull()
+def sliced_steps(hot: DataFrame) -> DataFrame:
+    """`ordered_steps` of hot sequences, positions and previous states across all slices."""
+    return ordered_steps(hot, [*KEYS, "slice"], "start", "before").select(
+        *KEYS,
+        "state",
+        (F.col("start") + F.col("pos")).alias("pos"),
+        F.coalesce("prev", "before").alias("prev"),
     )
 
 
 def all_steps(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS) -> DataFrame:
-    """Every step ``(site, user, prev, state)``; a sequence's first event has no ``prev``.
-
-    A sliced sequence also yields a row without ``prev`` at each slice start, next to its seams.
-    """
-    cold, hot = split_events(events, hot_events)
-    columns = [*KEYS, "prev", "state"]
-    steps = ordered_steps(cold, KEYS).select(*columns)
-    if hot is not None:
-        inner = ordered_steps(hot, [*KEYS, "slice"]).select(*columns)
-        steps = steps.unionByName(inner).unionByName(seams(hot).select(*columns))
-    return steps
+    """Every step ``(user, site, state, pos, prev)``; a sequence's first event has no ``prev``."""
+    split = split_events(events, hot_events)
+    steps = ordered_steps(split.cold, KEYS)
+    return steps if split.hot is None else steps.unionByName(sliced_steps(split.hot))
 
 
 def state_pairs(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS) -> DataFrame:
@@ -129,16 +137,16 @@ def state_pairs(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS) -
     return steps.select(*SEQUENCE, F.col("prev.state").alias("src"), F.col("state").alias("dst"))
 
 
-def part_states() -> Column:
-    """Aggregate: the states of a part in sequence order."""
-    gathered = F.sort_array(F.collect_list(F.struct("pos", "state")))
-    return F.transform(gathered, lambda e: e["state"])
+def in_parts(steps: DataFrame, part_events: int, *sums: Column) -> DataFrame:
+    """Steps gathered into ``(user, site, part, states)`` and the given aggregates.
 
-
-def part_number(part_events: int, sliced: bool) -> Column:
-    """Number of the part an event falls into; rises along the sequence."""
-    within = F.floor(F.col("pos") / part_events)
-    return within + F.shiftleft(F.col("slice").cast("long"), 32) if sliced else within
+    ``part`` is ``floor(pos / part_events)``. Cold steps are partitioned by (user, site), which
+    these groups extend: they need no further shuffle.
+    """
+    gathered = F.sort_array(F.collect_list(F.struct("pos", "state")))
+    states = F.transform(gathered, lambda e: e["state"]).alias("states")
+    part = F.floor(F.col("pos") / part_events)
+    return steps.withColumn("part", part).groupBy(*KEYS, "part").agg(states, *sums)
 
 
 def build_sequences(
@@ -148,22 +156,13 @@ def build_sequences(
 ) -> DataFrame:
     """Ordered sequences ``(site, user, part, states)``.
 
-    A sequence of up to ``part_events`` states is one row with part 0. A longer one continues in
-    further rows in the order of ``part``, so no row outgrows memory and nothing is cut off.
+    Part ``i`` holds the states from position ``i * part_events`` on, ``part_events`` of them in
+    all parts but the last. So no row outgrows memory, nothing is cut off, and neither settings
+    nor the path of a sequence change a row.
     """
-    cold, hot = split_events(events, hot_events)
-
-    def parts(steps: DataFrame, sliced: bool) -> DataFrame:
-        # grouping keys extend the keys the steps are already partitioned by: no further shuffle
-        keys = [*KEYS, "slice"] if sliced else KEYS
-        return (
-            steps.withColumn("part", part_number(part_events, sliced))
-            .groupBy(*keys, "part")
-            .agg(part_states().alias("states"))
-            .select(*SEQUENCE, "part", "states")
-        )
-
-    out = parts(ordered_steps(cold, KEYS), False)
-    if hot is not None:
-        out = out.unionByName(parts(ordered_steps(hot, [*KEYS, "slice"]), True))
+    split = split_events(events, hot_events)
+    columns = [*SEQUENCE, "part", "states"]
+    out = in_parts(ordered_steps(split.cold, KEYS), part_events).select(*columns)
+    if split.hot is not None:
+        out = out.unionByName(in_parts(sliced_steps(split.hot), part_events).select(*columns))
     return out

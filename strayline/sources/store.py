@@ -100,3 +100,10 @@ def scratch_folder(spark: SparkSession) -> str:
     """A new folder name under the shared folder of the cluster, or else under the warehouse."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/strayline-{uuid4().hex}"
+
+
+def write_scratch(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written once to a new scratch folder and read from there."""
+    path = scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,9 +23,9 @@ from strayline.operators.matrix import (
     matrix_set,
     matrix_to_string,
     row_stats,
-    state_domain,
+    state_index,
 )
-from strayline.operators.sequences import build_sequences, state_pairs
+from strayline.operators.sequences import build_sequences, split_events, state_pairs
 from strayline.plans.detect import detect_outliers
 from strayline.plans.markov import find_markov_outliers
 from strayline.sources.specs import apply_field_spec
@@ -60,7 +60,7 @@ def q_mapping_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_state_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events per declared state and its index."""
     counts = event_states(spark, sf_dir).groupBy("site", "state").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(state_domain(spark, EVENT_STATES), "state").select("site", "state", "idx", "n")
+    return counts.select("site", "state", state_index(F.col("state"), EVENT_STATES).alias("idx"), "n")
 
 
 def _sequences(load) -> Query:
@@ -101,7 +101,7 @@ def q_column_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_matrix_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add the raw support to the scaled matrix, then 1 to each observed cell."""
-    events = event_states(spark, sf_dir)
+    events = split_events(event_states(spark, sf_dir))
     counts = transition_counts(events)
     support = counts.select("src", "dst", F.col("support").cast("double").alias("p"))
     added = matrix_add(transition_matrix(events, EVENT_STATES), support)
@@ -110,7 +110,7 @@ def q_matrix_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_matrix_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replace every cell by its support, then read one row."""
-    events = event_states(spark, sf_dir)
+    events = split_events(event_states(spark, sf_dir))
     counts = transition_counts(events)
     support = counts.select("src", "dst", F.col("support").cast("double").alias("p"))
     replaced = matrix_set(transition_matrix(events, EVENT_STATES), support)
@@ -128,7 +128,7 @@ def q_matrix_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metric(load, states, metric, scale=100) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = load(spark, sf_dir)
+        events = split_events(load(spark, sf_dir))
         scored = metric(events, transition_matrix(events, states, scale), states)
         return scored.withColumn("metric", rounded("metric"))
 

@@ -155,7 +155,10 @@ def test_long_sequences_come_in_parts(spark):
     whole = score_sequences(events, matrix, STATES, "entreduc", 0.1).collect()
     parts = score_sequences(events, matrix, STATES, "entreduc", 0.1, part_events=4).collect()
     assert len(whole) == 1 and len(parts) == 7
-    assert {round(r["metric"], 12) for r in parts} == {round(whole[0]["metric"], 12)}
+    by_part = {r["part"]: r for r in parts}
+    assert round(by_part[0]["metric"], 12) == round(whole[0]["metric"], 12)
+    assert by_part[0]["flag"] == whole[0]["flag"]
+    assert all(by_part[i]["metric"] is None and by_part[i]["flag"] is None for i in range(1, 7))
 
 
 # --- hot sequences ----------------------------------------------------------------------------
@@ -204,7 +207,9 @@ def test_hot_path_equals_plain_path(spark):
         want = {u: reference_metric(s, expected, STATES, metric) for u, s in sequences.items()}
         scored = score_sequences(split, matrix, STATES, metric, 0.5, part_events=30).collect()
         assert len(scored) == len(rows)
-        got = {r["user"]: r["metric"] for r in scored}
+        assert all((r["flag"] is None) == (r["part"] > 0) for r in scored)
+        assert all(r["metric"] is None for r in scored if r["part"] > 0)
+        got = {r["user"]: r["metric"] for r in scored if r["part"] == 0}
         alone = {r["user"]: r["metric"] for r in sequence_metrics(split, matrix, STATES, metric).collect()}
         assert set(got) == set(alone) == set(want)
         for u in want:
@@ -212,6 +217,40 @@ def test_hot_path_equals_plain_path(spark):
             assert alone[u] == (None if want[u] is None else pytest.approx(want[u]))
 
 
+@pytest.mark.parametrize("partitions", [4, 16])
+def test_rows_do_not_depend_on_path_or_partitions(spark, partitions):
+    sequences = skewed()
+    matrix = transition_matrix(events_frame(spark, sequences), STATES)
+
+    def rows(hot_events):
+        split = split_events(events_frame(spark, sequences), hot_events)
+        scored = score_sequences(split, matrix, STATES, "missrate", 0.5, part_events=70)
+        return sorted(
+            ((r["user"], r["part"], r["states"], r["flag"], r["metric"] and round(r["metric"], 9)) for r in scored.collect()),
+            key=lambda r: r[:2],
+        )
+
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        plain, hot = rows(10_000), rows(50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert plain == hot
+    for user, states in sequences.items():
+        of_user = [r for r in plain if r[0] == user]
+        assert [r[1] for r in of_user] == list(range(len(of_user)))
+        assert all(len(r[2]) == 70 for r in of_user[:-1])
+        assert "".join("".join(r[2]) for r in of_user) == states
+
+
+def test_equal_hot_events_are_cut_too(spark):
+    rows = [("s", "u", 5, "A")] * 60 + [("s", "u", 6, "B")]
+    events = spark.createDataFrame(rows, "site string, user string, timestamp long, state string")
+    split = split_events(events, hot_events=10)
+    assert max(r["count"] for r in split.hot.groupBy("slice").count().collect()) < 30
+    assert cells(transition_counts(split), "support") == {("A", "A"): 59, ("A", "B"): 1}
+
+
 def test_hot_sequence_without_user_name_and_with_equal_timestamps(spark):
     rng = random.Random(4)
     rows = [("s", None, t // 3, t, rng.choice("AB")) for t in range(300)] + [("s", "u", 1, 1, "A"), ("s", "u", 2, 2, "B")]
@@ -305,6 +344,34 @@ def test_many_states_join_without_broadcast(spark, monkeypatch):
     assert metric_by_user(got) == METRICS["missprob", 1]
 
 
+def test_steps_of_many_states_are_dealt_by_salt(spark):
+    states = [f"s{i}" for i in range(2000)]
+    events = events_frame(spark, {"u": ["s1", "s2", "s1"]})
+    matrix = spark.createDataFrame(
+        [("s1", "s2", 0, 1, 0.5), ("s2", "s1", 1, 0, 1.0)], "src string, dst string, src_idx int, dst_idx int, p double"
+    )
+    got = sequence_metrics(events, matrix, states, "missrate")
+    assert [r["metric"] for r in got.collect()] == [0.0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = sequence_metrics(events, matrix, states, "missrate")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_pair = [line for line in plan.splitlines() if "hashpartitioning(_prev" in line or "hashpartitioning(_src" in line]
+    assert by_pair and all("salt" in line for line in by_pair)
+
+
+def test_matrix_without_a_cell_or_with_a_cell_twice(spark):
+    schema = "src string, dst string, src_idx int, dst_idx int, p double"
+    events = events_frame(spark, {"u": "AB"})
+    lacking = spark.createDataFrame([("A", "A", 0, 0, 1.0)], schema)
+    with pytest.raises(Exception, match="no matrix cell for step: A > B"):
+        sequence_metrics(events, lacking, "A,B", "missrate").collect()
+    double = spark.createDataFrame([("A", "B", 0, 1, 1.0), ("A", "B", 0, 1, 2.0)], schema)
+    with pytest.raises(Exception, match="matrix cell given twice in row A"):
+        sequence_metrics(events, double, "A,B", "missprob").collect()
+
+
 def test_parse_states():
     assert parse_states("b,a") == ["b", "a"]
     for bad in ("a,a", []):
