@@ -39,18 +39,20 @@ def _typed(centers: DataFrame) -> DataFrame:
     )
 
 
-def _measure(centers: DataFrame) -> tuple[int, int]:
-    """Number of centers and their dimension."""
-    sized = centers.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("center")), F.lit(0)).alias("d")
-    ).first()
-    return sized["n"], sized["d"]
-
-
-def _held(centers: DataFrame) -> DataFrame:
-    """A center table that has been measured, read once and held by the driver."""
-    rows = [(r["cluster"], r["center"]) for r in centers.collect()]
-    return centers_frame(centers.sparkSession, rows)
+def _measured(centers: DataFrame, local_values: int) -> tuple[DataFrame, int, int]:
+    """Centers, their number and their dimension; up to ``local_values`` doubles they are then
+    held by the driver. Their source is read once."""
+    kept = centers.persist()
+    try:
+        size = kept.agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("center")), F.lit(0)).alias("d")
+        ).first()
+        if size["n"] * size["d"] <= local_values:
+            rows = [(r["cluster"], r["center"]) for r in kept.collect()]
+            centers = centers_frame(centers.sparkSession, rows)
+        return centers, size["n"], size["d"]
+    finally:
+        kept.unpersist()
 
 
 def assign_nearest(
@@ -62,12 +64,11 @@ def assign_nearest(
     neither joined nor shuffled. A larger table is cut into blocks: each point meets each block
     once, keeps the block's best center, and the least of those is the answer.
     """
-    centers = _typed(centers)
-    n, d = _measure(centers)
+    centers, n, d = _measured(_typed(centers), local_values)
     if n * d > local_values:
         return _assign_by_blocks(points, centers, ceil(n / max(1, local_values // d)))
 
-    every = _held(centers).agg(F.collect_list(F.struct("cluster", "center"))).scalar()
+    every = centers.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
     return (
         points.withColumn("_centers", every)
         .withColumn("_best", _nearest("features", "_centers"))
@@ -120,10 +121,9 @@ def center_distance(
 
     The centers are broadcast up to ``local_values`` doubles and joined as any table beyond.
     """
-    centers = _typed(centers)
-    n, d = _measure(centers)
+    centers, n, d = _measured(_typed(centers), local_values)
     if n * d <= local_values:
-        centers = F.broadcast(_held(centers))
+        centers = F.broadcast(centers)
     return (
         assigned.join(centers, "cluster")
         .withColumn("distance", euclidean("features", "center"))
@@ -149,19 +149,15 @@ def best_k(scores: DataFrame) -> DataFrame:
 def top_per_cluster(assigned: DataFrame, top: int) -> DataFrame:
     """The ``top`` farthest points of each cluster; equal distances: lowest id first.
 
-    Spark cuts each task's rows to ``top`` per cluster before the shuffle as long as ``top`` is
-    within its limit for that rule. Beyond it, a first round over (cluster, salt) does the same
-    job, so that one large cluster is never ranked by a single task.
+    A round over (cluster, salt) comes before the one over the cluster, so that one large cluster
+    is never ranked by a single task, whatever ``top`` is.
     """
-    conf = assigned.sparkSession.conf
+    salts = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     farthest = [F.desc("distance"), F.asc("id")]
 
     def ranked(df: DataFrame, *keys: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy(*farthest)
         return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= top).drop("_rank")
 
-    if top > int(conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        salts = int(conf.get("spark.sql.shuffle.partitions"))
-        salted = assigned.withColumn("_salt", F.pmod(F.xxhash64("id", "distance"), F.lit(salts)))
-        assigned = ranked(salted, "cluster", "_salt").drop("_salt")
-    return ranked(assigned, "cluster")
+    salted = assigned.withColumn("_salt", F.pmod(F.xxhash64("id", "distance"), F.lit(salts)))
+    return ranked(ranked(salted, "cluster", "_salt").drop("_salt"), "cluster")

@@ -13,33 +13,30 @@ from pyspark.sql import DataFrame, Window, functions as F
 def assemble_points(cells: DataFrame) -> DataFrame:
     """Long-form cells ``(row, col, lbl, val)`` to one dense point per row, ordered by column.
 
-    Every row must hold each column exactly once. The sizes of the rows are compared with the
-    number of distinct columns before any cell is collected, so the array built for one row never
-    exceeds the dimension, and a row with surplus or missing cells ends the query with an error.
+    Every row must hold each column exactly once. The dimension is the number of distinct columns,
+    from a read of ``col`` alone. A row's cells are numbered in sorted order before they are
+    collected, so the array built for one row never exceeds the dimension, and a row with surplus
+    or missing cells ends the query with an error.
     """
-    sizes = cells.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    widths = sizes.agg(F.struct(F.min("n").alias("least"), F.max("n").alias("most"))).scalar()
     dim = cells.select("col").distinct().agg(F.count(F.lit(1))).scalar()
-
-    checked = (
-        cells.withColumn("_w", widths)
-        .withColumn("_dim", dim)
-        .where(
-            F.when((F.col("_w.least") == F.col("_dim")) & (F.col("_w.most") == F.col("_dim")), True)
-            .otherwise(F.raise_error(F.lit("points have vectors of unequal length")))
-        )
+    unequal = F.raise_error(F.lit("points have vectors of unequal length"))
+    numbered = cells.withColumn("_dim", dim).withColumn(
+        "_nr", F.row_number().over(Window.partitionBy("row").orderBy("col"))
     )
-    gathered = checked.groupBy(F.col("row").alias("id")).agg(
+    within = F.when(F.col("_nr") <= F.col("_dim"), F.col("val")).otherwise(unequal.cast("double"))
+    gathered = numbered.withColumn("val", within).groupBy(F.col("row").alias("id")).agg(
         F.min_by("lbl", "col").alias("label"),
         F.sort_array(F.collect_list(F.struct("col", "val"))).alias("cells"),
         F.count("val").alias("filled"),
+        F.max("_dim").alias("dim"),
     )
     distinct_cols = F.size(F.array_distinct(F.transform("cells", lambda c: c["col"])))
     complete = (distinct_cols == F.size("cells")) & (F.col("filled") == F.size("cells"))
     return gathered.select(
         "id",
         "label",
-        F.when(complete, F.transform("cells", lambda c: c["val"]))
+        F.when(F.size("cells") < F.col("dim"), unequal.cast("array<double>"))
+        .when(complete, F.transform("cells", lambda c: c["val"]))
         .otherwise(F.raise_error(F.concat(
             F.lit("cell given twice or without value in row "), F.col("id").cast("string"))))
         .alias("features"),

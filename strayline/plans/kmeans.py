@@ -10,12 +10,13 @@ from typing import NamedTuple
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from strayline.functions import euclidean
 from strayline.operators.clusters import best_k, centers_frame, top_per_cluster
 from strayline.operators.entropy import str_entropy
 from strayline.operators.vectors import with_vector, zscore
+from strayline.sources.store import write_scratch
 
 # Numbers of clusters that are tried.
 SWEEP_KS = (5, 10, 15, 20, 25, 30, 35, 40)
@@ -48,6 +49,14 @@ def model_centers(model: KMeansModel, vectors: DataFrame) -> DataFrame:
     return centers_frame(vectors.sparkSession, list(enumerate(model.clusterCenters())))
 
 
+def _centers_by_k(vectors: DataFrame, models: dict[int, KMeansModel]) -> Column:
+    """One value ``{k: centers by cluster}``, as a scalar subquery; the driver holds the models."""
+    centers = {k: [[float(x) for x in c] for c in m.clusterCenters()] for k, m in models.items()}
+    return vectors.sparkSession.createDataFrame(
+        [(centers,)], "centers map<int, array<array<double>>>"
+    ).scalar()
+
+
 class Kept(NamedTuple):
     """Cached vectors, the frame to give to a fit, and their number."""
 
@@ -104,23 +113,14 @@ def score_models(vectors: DataFrame, models: dict[int, KMeansModel], strategy: s
         return str_entropy(chosen, ["k", "cluster"], "label").groupBy("k").agg(
             F.avg("entropy").alias("score")
         )
-    centers = vectors.sparkSession.createDataFrame(
-        [
-            (k, c, [float(x) for x in center])
-            for k, model in models.items()
-            for c, center in enumerate(model.clusterCenters())
-        ],
-        "k int, cluster int, center array<double>",
+    held = predicted.withColumn("features", vector_to_array("vector")).withColumn(
+        "centers", _centers_by_k(vectors, models)
     )
-    chosen = predicted.select(
-        vector_to_array("vector").alias("features"), F.explode(choices).alias("c")
-    ).select("c.*", "features")
-    # at most sum(ks) centers
-    return (
-        chosen.join(F.broadcast(centers), ["k", "cluster"])
-        .groupBy("k")
-        .agg(F.avg(euclidean("features", "center")).alias("score"))
+    means = held.agg(
+        *[F.avg(euclidean("features", F.col("centers")[k][F.col(f"cluster_{k}")])).alias(f"d{k}") for k in models]
     )
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"d{k}").alias("score")) for k in models])
+    return means.select(F.inline(rows))
 
 
 def sweep_k(
@@ -166,13 +166,10 @@ def prepare(
 
 def assign_by_model(vectors: DataFrame, model: KMeansModel) -> DataFrame:
     """Assigned points of a fitted model, each with the distance to its own center."""
-    centers = F.broadcast(model_centers(model, vectors))  # k rows
-    return (
-        model.transform(vectors)
-        .withColumn("features", vector_to_array("vector"))
-        .join(centers, "cluster")
-        .select("cluster", euclidean("features", "center").alias("distance"), "id", "label", "features")
-    )
+    every = _centers_by_k(vectors, {0: model})
+    assigned = model.transform(vectors).withColumn("features", vector_to_array("vector"))
+    distance = euclidean("features", F.col("centers")[0][F.col("cluster")]).alias("distance")
+    return assigned.withColumn("centers", every).select("cluster", distance, "id", "label", "features")
 
 
 def detect_kmeans(
@@ -180,15 +177,14 @@ def detect_kmeans(
 ) -> DataFrame:
     """Fit ``k`` clusters and return the ``top`` farthest points of each.
 
-    Result: ``(cluster, distance, id, label, features)``. Only the fit runs at once, the result is
-    lazy.
+    Result: ``(cluster, distance, id, label, features)``, written once to the shared folder while
+    the points are kept, so that they are not computed again.
     """
-    vectors = with_vector(normalized)
-    with _kept(vectors, partitions) as kept:
-        model = fit_kmeans(kept.to_fit, k, iterations) if kept.rows else None
-    if model is None:
-        return _none_found(normalized)
-    return top_per_cluster(assign_by_model(vectors, model), top)
+    with _kept(with_vector(normalized), partitions) as kept:
+        if not kept.rows:
+            return _none_found(normalized)
+        model = fit_kmeans(kept.to_fit, k, iterations)
+        return write_scratch(top_per_cluster(assign_by_model(kept.vectors, model), top))
 
 
 def find_kmeans_outliers(
@@ -197,15 +193,21 @@ def find_kmeans_outliers(
 ) -> DataFrame:
     """Normalize, choose k, and return the ``top`` farthest points of each cluster.
 
-    The model of the chosen k is the one fitted while choosing.
+    The model of the chosen k is the one fitted while choosing. The points are kept until their
+    normalized form is, and that until the result is written: their source is read once.
     """
     check_strategy(strategy)
-    vectors = with_vector(zscore(points))
-    with _kept(vectors, partitions) as kept:
-        chosen = _choose(kept, strategy, iterations, ks)
-    if chosen is None:
-        return _none_found(points)
-    return top_per_cluster(assign_by_model(vectors, chosen[1]), top)
+    own = not points.is_cached
+    points = points.persist(StorageLevel.MEMORY_AND_DISK) if own else points
+    try:
+        with _kept(with_vector(zscore(points)), partitions) as kept:
+            chosen = _choose(kept, strategy, iterations, ks)
+            if chosen is None:
+                return _none_found(points)
+            return write_scratch(top_per_cluster(assign_by_model(kept.vectors, chosen[1]), top))
+    finally:
+        if own:
+            points.unpersist()
 
 
 def _none_found(points: DataFrame) -> DataFrame:
