@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strayline.functions import euclidean
 from strayline.operators.clusters import (
@@ -16,9 +16,19 @@ from strayline.operators.clusters import (
     top_per_cluster,
 )
 from strayline.operators.entropy import int_entropy, str_entropy
-from strayline.operators.vectors import assemble_points, feature_stats, zscore
+from strayline.operators.vectors import assemble_points, feature_stats, with_vector, zscore
 from strayline.plans.detect import detect_outliers
-from strayline.plans.kmeans import SWEEP_KS, detect_kmeans, find_kmeans_outliers, prepare, sweep_k
+from strayline.plans.kmeans import (
+    SWEEP_KS,
+    assign_by_model,
+    dealt,
+    detect_kmeans,
+    find_kmeans_outliers,
+    fit_kmeans,
+    model_centers,
+    prepare,
+    sweep_k,
+)
 from strayline.suite.tables import (
     ASSIGNED_SQL,
     EMBEDDING_SQL,
@@ -249,7 +259,42 @@ def q_find_separated_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _far(find_kmeans_outliers(points, "distance", iterations=ITERATIONS, top=TOP, ks=(2, SEPARATE)))
 
 
+def q_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fits of the embeddings as they are: points per k, and how many of them break a rule.
+
+    A point's own center is its nearest; each cluster keeps its TOP points or all it has, and no
+    point left out is farther than one that is kept.
+    """
+    points = zscore(embedding_points(spark, sf_dir))
+    vectors = dealt(with_vector(points))
+
+    def checked(k: int) -> DataFrame:
+        model = fit_kmeans(vectors.select("vector"), k, ITERATIONS)
+        assigned = assign_by_model(vectors, model)
+        kept = top_per_cluster(assigned, TOP).groupBy("cluster").agg(
+            F.count("*").alias("kept"), F.min("distance").alias("least")
+        )
+        least = assign_nearest(points, model_centers(model, vectors)).select("id", F.col("distance").alias("nearest"))
+        of_cluster = Window.partitionBy("cluster")
+        beyond = F.count_if(F.col("distance") > F.col("least"))
+        rows = assigned.join(least, "id").withColumn("size", F.count("*").over(of_cluster)).join(kept, "cluster")
+        wrong = (F.col("kept") != F.least(F.col("size"), F.lit(TOP))).cast("long")
+        clusters = rows.groupBy("cluster").agg(
+            F.count("*").alias("points"),
+            F.count_if(F.abs(F.col("distance") - F.col("nearest")) > 1e-9).alias("not_nearest"),
+            F.max(wrong).alias("wrong"),
+            F.greatest(beyond - F.max("kept") + 1, F.lit(0)).alias("left_out_farther"),
+        )
+        return clusters.agg(
+            F.lit(k).alias("k"), F.sum("points").alias("points"), F.sum("not_nearest").alias("not_nearest"),
+            F.sum("wrong").alias("wrong_kept"), F.sum("left_out_farther").alias("left_out_farther"),
+        )
+
+    return checked(5).union(checked(10))
+
+
 QUERIES = {
+    "kmeans_invariants": q_invariants,
     "kmeans_detect_separated": q_detect_separated,
     "kmeans_find_separated_entropy": q_find_separated_entropy,
     "kmeans_find_separated_distance": q_find_separated_distance,
@@ -381,3 +426,5 @@ ORACLE |= {
     name: _SEPARATED
     for name in ("kmeans_detect_separated", "kmeans_find_separated_entropy", "kmeans_find_separated_distance")
 }
+ORACLE["kmeans_invariants"] = """select unnest([5, 10]) as k, n as points, 0::bigint as not_nearest,
+  0::bigint as wrong_kept, 0::bigint as left_out_farther from (select count(*) as n from embeddings)"""
