@@ -2,53 +2,71 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strayline.llm.common import WORD
+from strayline.llm.common import cut
 
-# Tokens are the COMMON most frequent words, and hash classes for all other words.
-COMMON, CLASSES = 128, 128
-SIZE = COMMON + CLASSES
-SIDE = 16  # a token is a pair (high, low) of SIDE values each: two small softmaxes instead of one
+# Words with at least sqrt(all words) / RARE occurrences are tokens of their own, so the vocabulary
+# grows with the corpus; at least CLASSES hash classes stand for all other words in the network.
+RARE, CLASSES = 4, 128
+# A token is a pair (high, low) of SIDE values each: two small softmaxes instead of one. A network
+# of SIZE tokens is the smallest that is made.
+SIDE = 16
+SIZE = SIDE * SIDE
 WINDOW, WIDTH = 2, 16
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 BATCH, RATE = 2048, 0.2
-PAD = SIZE  # stands for a word beyond either end
+PAD = -1  # stands for a word beyond either end, the last row of a table
 
 Network = dict[str, np.ndarray]
-_SHAPES = {
-    "embed": (len(OFFSETS), SIZE + 1, WIDTH), "bias": (WIDTH,), "high": (WIDTH, SIDE), "high_bias": (SIDE,),
-    "low": (WIDTH, SIDE), "low_bias": (SIDE, SIDE),
-}
 
 
-def _start() -> Network:
+def _shapes(side: int) -> dict[str, tuple[int, ...]]:
+    return {
+        "embed": (len(OFFSETS), side * side + 1, WIDTH), "bias": (WIDTH,), "high": (WIDTH, side), "high_bias": (side,),
+        "low": (WIDTH, side), "low_bias": (side, side),
+    }
+
+
+def _start(side: int = SIDE) -> Network:
     draw = np.random.default_rng(11)
-    return {k: draw.normal(0, 0.0 if k.endswith("bias") else 0.1, s).astype(np.float32) for k, s in _SHAPES.items()}
+    return {k: draw.normal(0, 0.0 if k.endswith("bias") else 0.1, s).astype(np.float32) for k, s in _shapes(side).items()}
 
 
 def _pack(net: Network) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in _SHAPES]).astype(np.float64)
+    return np.concatenate([x.ravel() for x in net.values()]).astype(np.float64)
+
+
+def _unpack(flat: np.ndarray, side: int = SIDE) -> Network:
+    shapes = _shapes(side)
+    parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(s)) for s in shapes.values()])[:-1])
+    return {k: p.reshape(s) for (k, s), p in zip(shapes.items(), parts)}
+
+
+def _side(n_common: int) -> int:
+    """Side of the least square that holds the frequent words and CLASSES classes; classes fill it."""
+    return max(SIDE, math.isqrt(n_common + CLASSES - 1) + 1)
+
+
+def _class(word: bytes, n_common: int, side: int) -> int:
+    # from length and ends of the word: the same in every process, unlike hash()
+    return n_common + (31 * len(word) + 7 * word[0] + 13 * word[-1] + word[len(word) // 2]) % (side * side - n_common)
 
 
-def _unpack(flat: np.ndarray) -> Network:
-    parts = np.split(flat.astype(np.float32), np.cumsum([int(np.prod(s)) for s in _SHAPES.values()])[:-1])
-    return {k: p.reshape(s) for (k, s), p in zip(_SHAPES.items(), parts)}
+def _words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()  # of bytes: A-Z only, and ASCII white space only
 
 
 def tokens(text: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
     """Token of every word of a text (A-Z in lower case)."""
-    words = (text or b"").lower().split()
-    # a class from length and ends of the word: the same in every process, unlike hash()
-    return np.array(
-        [ids[w] if w in ids else COMMON + (31 * len(w) + 7 * w[0] + 13 * w[-1] + w[len(w) // 2]) % CLASSES for w in words],
-        dtype=np.int64,
-    )
+    n, side = len(ids), _side(len(ids))
+    return np.array([ids[w] if w in ids else _class(w, n, side) for w in _words(text)], dtype=np.int64)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -79,7 +97,8 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _step(net: Network, around: np.ndarray, target: np.ndarray, rate: float) -> None:
-    high, low = target // SIDE, target % SIDE
+    side = len(net["high_bias"])
+    high, low = target // side, target % side
     hidden, p_high, p_low = _forward(net, around, high)
     rows, n = np.arange(len(target)), np.float32(rate / len(target))
     d_high, d_low = np.exp(p_high), np.exp(p_low)
@@ -89,19 +108,20 @@ def _step(net: Network, around: np.ndarray, target: np.ndarray, rate: float) ->
     net["high"] -= n * (hidden.T @ d_high)
     net["high_bias"] -= n * d_high.sum(axis=0)
     net["low"] -= n * (hidden.T @ d_low)
-    kinds = np.zeros((SIDE, len(target)), dtype=np.float32)
+    kinds = np.zeros((side, len(target)), dtype=np.float32)
     kinds[high, rows] = 1
     net["low_bias"] -= n * (kinds @ d_low)
     net["bias"] -= n * back.sum(axis=0)
     for k in range(len(OFFSETS)):
         order = np.argsort(around[k], kind="stable")
         ids = around[k][order]
-        first = np.flatnonzero(np.diff(ids, prepend=-1))
+        first = np.flatnonzero(np.diff(ids, prepend=PAD - 1))
         # a frequent word sums many gradients: a fixed share of the batch bounds its step
         net["embed"][k][ids[first]] -= 8 * n * np.add.reduceat(back[order], first, axis=0)
 
 
 _GROUP = 256
+_VALUES = [f"v{k}" for k in range(WIDTH)]  # a row of weights
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -113,7 +133,7 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 def _train(ids: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = _start(), 0
+        net, seen = _start(_side(len(ids))), 0
         for _, texts in _texts(batches, 0):
             found, starts = _joined([tokens(t, ids) for t in texts])
             for at, around in _batches(found, starts):
@@ -121,48 +141,107 @@ def _train(ids: dict[bytes, int]):
                 seen += len(at)
         if seen:
             flat = _pack(net) * seen
+            rows = np.pad(flat, (0, -len(flat) % WIDTH)).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), float(seen)))],
-                ["place", "value", "seen"],
+                [pa.array(np.arange(len(rows)), pa.int32()), pa.array(np.full(len(rows), float(seen))), *map(pa.array, rows.T.copy())],
+                ["place", "seen", *_VALUES],
             )
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[dict[bytes, int], Network]:
-    """Vocabulary and network of a corpus.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in _texts(batches, 0):
+        count = Counter()
+        for t in texts:
+            count.update(_words(t))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"]
+        )
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """Rows ``(word, n)``: all words of a corpus, written to the shared folder."""
+    found = docs.select(F.col("text").cast("binary")).mapInArrow(_counted, "word binary, n long")
+    return cut(found.groupBy("word").agg(F.sum("n").alias("n")))
+
 
-    All words are counted; every partition trains a copy of one start on all of its texts, and the
-    copies are averaged weight by weight by the words they saw. The driver gets COMMON words and one
-    network, whatever the corpus.
+def vocabulary(counts: DataFrame) -> dict[bytes, int]:
+    """The words that are tokens of their own, the most frequent first. They all have at least
+    ``sqrt(N) / RARE`` of the ``N`` occurrences, so there are ``RARE * sqrt(N)`` at most."""
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.where(F.col("n") >= math.sqrt(n) / RARE).orderBy(F.desc("n"), "word").collect()
+    return {bytes(r["word"]): k for k, r in enumerate(top)}
+
+
+def train(docs: DataFrame, ids: dict[bytes, int]) -> Network:
+    """Network over the tokens of a vocabulary.
+
+    Every partition trains a copy of one start on all of its texts, and the copies are averaged
+    weight by weight by the words they saw.
     """
-    text = F.col("text").cast("binary")
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), 1)).alias("word"))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(COMMON).collect()
-    ids = {r["word"].encode(): k for k, r in enumerate(top)}
-    parts = docs.select(text.alias("text")).mapInArrow(_train(ids), "place int, value double, seen double")
-    mean = parts.groupBy("place").agg((F.sum("value") / F.sum("seen")).alias("value")).toPandas()
+    kinds = ", ".join(f"{v} double" for v in _VALUES)
+    parts = docs.select(F.col("text").cast("binary")).mapInArrow(_train(ids), f"place int, seen double, {kinds}")
+    mean = parts.groupBy("place").agg(*[(F.sum(v) / F.sum("seen")).alias(v) for v in _VALUES]).toPandas()
+    start = _start(_side(len(ids)))
     if mean.empty:
-        return ids, _start()
-    return ids, _unpack(mean.sort_values("place")["value"].to_numpy())
+        return start
+    flat = mean.sort_values("place")[_VALUES].to_numpy().ravel()
+    return _unpack(flat[: len(_pack(start))], _side(len(ids)))
+
 
+def _classes(ids: dict[bytes, int]):
+    """Occurrences of each class, from rows ``(word, n)``."""
 
-def _scores(ids: dict[bytes, int], net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _texts(batches, 1):
+        n, side = len(ids), _side(len(ids))
+        for batch in batches:
+            kinds = [_class(w, n, side) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), batch.column(1)], ["class", "n"])
+
+    return run
+
+
+def _rare(ids: dict[bytes, int]):
+    """Words of a text that have no token of their own, each with its occurrences there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches, 2):
+            words, times, of = [], [], []
+            for k, t in enumerate(texts):
+                count = Counter(w for w in _words(t) if w not in ids)
+                words += count.keys()
+                times += count.values()
+                of += [k] * len(count)
+            of = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(of), part.column(1).take(of), pa.array(words, pa.binary()), pa.array(times, pa.int64())],
+                ["h", "g", "word", "times"],
+            )
+
+    return run
+
+
+def _scores(ids: dict[bytes, int], net: Network, log_class: np.ndarray):
+    """Rows of what the network gives, less the logarithms of the counts of classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = len(net["high_bias"])
+        for part, texts in _texts(batches, 3):
             split = [tokens(t, ids) for t in texts]
             found, starts = _joined(split)
             total = np.zeros(len(split))
             for at, around in _batches(found, starts):
-                high, low = found[at] // SIDE, found[at] % SIDE
+                high, low = found[at] // side, found[at] % side
                 _, p_high, p_low = _forward(net, around, high)
                 rows = np.arange(len(at))
-                own = p_high[rows, high] + p_low[rows, low]
+                own = p_high[rows, high] + p_low[rows, low] - log_class[found[at]]
                 total += np.bincount(np.searchsorted(starts, at, side="right") - 1, own, len(split))
             n = np.array([len(t) for t in split])
+            rare = np.array([int((t >= len(ids)).sum()) for t in split])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(total / np.maximum(n, 1))],
-                ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"],
+                [*part.columns[:3], pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(total)],
+                ["doc_id", "h", "g", "n_tokens", "n_rare", "total"],
             )
 
     return run
@@ -172,13 +251,39 @@ def score(docs: DataFrame) -> DataFrame:
     """Pseudo-log-likelihood of every document under a network trained on all of them.
 
     Rows ``(doc_id, n_tokens, log_likelihood, mean_log_likelihood)``, one for each row of ``docs``,
-    repeated rows included. Every token is masked in turn and predicted from WINDOW tokens on either
-    side; its log-probability is ``log P(high) + log P(low | high)`` over all SIZE tokens. A null or
-    wordless text scores 0 in both; an empty table gives none. The averaged network depends a
-    little on how the rows are partitioned. Other columns are not read.
+    repeated rows included. Every word is masked in turn and predicted from WINDOW tokens on either
+    side: ``log P(high) + log P(low | high)`` over all tokens, and for a word that shares a class
+    ``log P(word | class)``, its part of the class's occurrences in the corpus. A null or wordless
+    text scores 0 in both; an empty table gives none. The averaged network depends a little on how
+    the rows are partitioned. Other columns are not read.
+
+    The counts of all words are a table that the rare words of each text meet by a join; no such
+    word has more rows there than the vocabulary's threshold. The driver gets the vocabulary, the
+    occurrences of each class and one network, all of the order of the root of the corpus.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ids, net = train(docs)
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
-        _scores(ids, net), f"doc_id {id_type}, n_tokens long, log_likelihood double, mean_log_likelihood double"
+    counts = word_counts(docs)
+    ids = vocabulary(counts)
+    net = train(docs, ids)
+    least = math.sqrt(counts.agg(F.sum("n")).first()[0] or 0) / RARE
+    rare_words = counts.where(F.col("n") < least)
+    kinds = rare_words.mapInArrow(_classes(ids), "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
+    log_class = np.zeros(_side(len(ids)) ** 2)
+    for r in kinds:
+        log_class[r["class"]] = math.log(r["n"])
+
+    text, key = F.col("text").cast("binary"), (F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    base = docs.select("doc_id", *key, text.alias("text")).mapInArrow(
+        _scores(ids, net, log_class), f"doc_id {id_type}, h long, g int, n_tokens long, n_rare long, total double"
+    )
+    words = docs.select(*key, text.alias("text")).mapInArrow(_rare(ids), "h long, g int, word binary, times long")
+    # rows of one text add up here: their number is the sum of times over n_rare
+    met = words.join(rare_words, "word").groupBy("h", "g").agg(
+        F.sum(F.col("times") * F.log("n")).alias("logs"), F.sum("times").alias("times")
+    )
+    within = F.when(F.col("n_rare") > 0, F.col("logs") * F.col("n_rare") / F.col("times")).otherwise(0.0)
+    found = base.join(met, ["h", "g"], "left").withColumn("log_likelihood", F.col("total") + within)
+    return found.select(
+        "doc_id", "n_tokens", "log_likelihood",
+        (F.col("log_likelihood") / F.greatest("n_tokens", F.lit(1))).alias("mean_log_likelihood"),
     )

@@ -354,6 +354,28 @@ def test_order_matters_to_the_score(spark, odd, no_docs):
     assert masked_lm.score(no_docs).count() == 0
 
 
+def test_every_word_has_its_own_probability(spark):
+    """Words of one class that differ in how often the corpus has them; a vocabulary that grows."""
+    rng = random.Random(12)
+    common = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(rng.choices(common, k=400))) for k in range(60)]
+    rows += [(100 + k, "w1 w2 axbxz w3 w4") for k in range(20)]
+    rows += [(200, "w1 w2 aybxz w3 w4"), (201, "W1 w2 aybxz w3 w4"), (200, "w1 w2 aybxz w3 w4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    counts = masked_lm.word_counts(docs)
+    want = Counter(w for _, t in rows for w in t.lower().split())
+    assert {r.word.decode(): r.n for r in counts.collect()} == want
+    ids = masked_lm.vocabulary(counts)
+    assert set(common) == {w.decode() for w in ids}
+    assert len(masked_lm.vocabulary(masked_lm.word_counts(docs.where("doc_id < 1")))) < 300
+    assert masked_lm.tokens(b"axbxz", ids) == masked_lm.tokens(b"aybxz", ids)
+    got = masked_lm.score(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+    at = {r.doc_id: r.log_likelihood for r in got}
+    assert at[100] - at[200] == pytest.approx(np.log(20 / 3), abs=1e-5)
+    assert at[201] == pytest.approx(at[200])
+
+
 # --- main text --------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head>
