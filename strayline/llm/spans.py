@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strayline.llm.common import WORD, let
+from strayline.llm.common import let
 
-# Sentences of a run, and its words at least; the parts of a sentence between commas count as well,
-# so that a passage that begins or ends inside a long sentence still has whole runs.
-RUN, FEWEST_WORDS = 3, 10
+# Sentences of a run; the parts of a sentence between commas count as well, so that a passage that
+# begins or ends inside a long sentence still has whole runs.
+RUN = 3
 # A piece ends with a mark and one white space, or with a line; the pieces of a text make the text.
 BOUNDARY = r"(?<=[.!?;:,][\x20\x09\x0B-\x0D])|(?<=\n)"
 
@@ -24,26 +24,24 @@ def _runs(pieces: Column) -> Column:
     def piece(p: Column, i: Column) -> Column:
         norm = F.lower(F.btrim(p, F.lit(" \t\r\n\x0b\x0c")))
         return let(norm, lambda x: F.struct(
-            i.alias("i"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.xxhash64(x).alias("h"), F.hash(x).alias("g")
+            i.alias("i"), (x != "").alias("full"), F.xxhash64(x).alias("h"), F.hash(x).alias("g")
         ))
 
-    sentences = F.filter(F.transform(pieces, piece), lambda x: x["n"] > 0)
+    sentences = F.filter(F.transform(pieces, piece), lambda x: x["full"])
 
     def of(s: Column) -> Column:
         count = F.least(F.lit(RUN), F.size(s))
 
         def run(i: Column) -> Column:
             parts = [F.get(s, i + k) for k in range(RUN)]  # null beyond the end of a short text
-            words = sum((F.coalesce(x["n"], F.lit(0)) for x in parts[1:]), parts[0]["n"])
             return F.struct(
                 F.xxhash64(*[x["h"] for x in parts]).alias("h"), F.hash(*[x["g"] for x in parts]).alias("g"),
                 parts[0]["i"].alias("first"), F.get(s, i + count - 1)["i"].alias("last"),
-                (words >= FEWEST_WORDS).alias("long"),
             )
 
         every = F.transform(F.sequence(F.lit(0), F.size(s) - count), run)
-        none = F.array().cast("array<struct<h:bigint,g:int,first:int,last:int,long:boolean>>")
-        return F.when(F.size(s) == 0, none).otherwise(F.filter(every, lambda r: r["long"]))
+        none = F.array().cast("array<struct<h:bigint,g:int,first:int,last:int>>")
+        return F.when(F.size(s) == 0, none).otherwise(every)
 
     def marked(r: Column) -> Column:
         return F.transform(

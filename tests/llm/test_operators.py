@@ -304,6 +304,28 @@ def test_remove_repeats(make, odd, no_docs):
     assert spans.remove_repeats(no_docs).count() == 0
 
 
+def test_remove_repeats_of_short_pieces(make):
+    """Lists, menus and texts of few words, against every run of three pieces."""
+    rng = random.Random(13)
+    menu = "\n".join(f"item{k}" for k in range(60)) + "\n"
+    texts = {1: f"Some text of its own.\n{menu}", 2: f"Other words stand here.\n{menu}The end of it.", 3: "Just four words here", 4: "just four words here", 5: "一二三四五六", 6: "一二三四五六"}
+    got = {r.doc_id: r for r in spans.remove_repeats(make(texts)).collect()}
+    assert {i: r.text for i, r in got.items()} == texts | {2: "Other words stand here.\nThe end of it.", 4: "", 6: ""}
+    assert got[2].removed == 60
+    pieces = {i: [rng.choice(["a, ", "b b. ", "c c c; ", "d\n"]) for _ in range(rng.randint(1, 12))] for i in range(40)}
+    seen, want = set(), {}
+    for i, parts in pieces.items():
+        gone = set()
+        count = min(3, len(parts))
+        for k in range(len(parts) - count + 1):
+            run = tuple(x.strip() for x in parts[k : k + count])
+            gone |= set(range(k, k + count)) if run in seen else set()
+            seen.add(run)
+        want[i] = "".join(x for k, x in enumerate(parts) if k not in gone)
+    texts = {i: "".join(parts) for i, parts in pieces.items()}
+    assert {r.doc_id: r.text for r in spans.remove_repeats(make(texts)).collect()} == want
+
+
 # --- classifiers ------------------------------------------------------------------------------
 
 
