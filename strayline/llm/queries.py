@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strayline.llm.common import table
 from strayline.llm.decontaminate import overlaps
 from strayline.llm.html_main import extract
-from strayline.llm.line_dedup import line_classes
+from strayline.llm.line_dedup import LINE_WIDTH, line_classes
 from strayline.llm.line_rules import clean_lines
 from strayline.llm.masked_lm import score
 from strayline.llm.mixing import mix
@@ -51,7 +51,7 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line that is not blank and the line that its class keeps."""
-    return line_classes(table(spark, sf_dir, "documents")).select(
+    return line_classes(table(spark, sf_dir, "documents"), width=LINE_WIDTH).select(
         "doc_id", "line_no", "kept_doc_id", "kept_line_no"
     )
 

@@ -173,6 +173,23 @@ def test_line_classes_around_a_pivot(make):
     assert 1 < len(least) < len(texts)
 
 
+def test_short_lines_with_one_edit(make):
+    """Lines of 50 to 70 characters as the pipeline and the query compare them, against brute force over shingles of 5."""
+    rng = random.Random(15)
+    texts = {}
+    for i in range(40):
+        line = "".join(rng.choices("abcdefghijklmnop ", k=rng.randrange(50, 70)))
+        k = rng.randrange(10, 40)
+        texts[2 * i] = f"x{line}x"
+        texts[2 * i + 1] = f"x{line[:k]}7{line[k + 1:]}x"
+    sets = {i: {t[k : k + 5] for k in range(len(t) - 4)} for i, t in texts.items()}
+    links = [(i, k) for i, k in combinations(texts, 2) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+    assert len(links) > 30
+    root = roots_of(texts, links)
+    left = {r.doc_id for r in line_dedup.dedup_lines(make(texts)).collect()}
+    assert left == set(root.values())
+
+
 def test_dedup_lines(make, odd, no_docs):
     line = "This line is long enough to be compared with another line."
     docs = make({1: f"{line}\nOwn text of the first.", 2: f"\n{line}\n", 3: f"{line.upper()}\n\nOwn text of the third."})
