@@ -15,7 +15,7 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # What HTML says of elements.
 _EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea iframe svg math".split())
+_RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section "
@@ -26,56 +26,76 @@ _CLOSED_BY_PEER = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 # Elements, roles and names of classes that are not the article.
 _OTHER = frozenset("aside button dialog footer form head header menu nav search select".split())
 _OTHER_ROLES = frozenset("alert banner complementary contentinfo dialog form menu navigation search".split())
-_OTHER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|consent|cookies?|discussion|disqus|footer|"
+_NAME = (
+    r"(?:ads?|advert\w*|alert|banner|breadcrumbs?|comments?|consent|cookies?|discussion|disqus|footer|"
     r"gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|"
     r"recommend\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|"
-    r"subscription|toolbar|widget)(?:$|[\s_-])", re.I
+    r"subscription|toolbar|widget)"
 )
+# A whole name or the head of one tells what an element is; a later part only counts against it.
+_OTHER_NAMES = re.compile(rf"(?:^|\s){_NAME}(?:$|[\s_-])", re.I)
+_PART_NAMES = re.compile(rf"(?:^|\s)(?!(?:no|not|non|has|have|with|without)[_-])\S*[_-]{_NAME}(?:$|[\s_-])", re.I)
+_TALK_NAMES = re.compile(r"(?:^|\s)(?:comments?|discussion|disqus|replies|respond)(?:$|[\s_-])", re.I)
+_NO_NAMES = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+_PART_POINTS = -5.0
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _START = {"article": 10.0, "main": 10.0, "blockquote": 3.0, "pre": 3.0, "td": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "other", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "other", "named", "talk", "has_main", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: _Node | None, other: bool):
+    def __init__(self, tag: str, parent: _Node | None, other: bool, names: str = ""):
         self.tag, self.parent, self.other = tag, parent, other
-        self.points, self.chars, self.linked = _START.get(tag, 0.0), 0, 0
+        self.named, self.talk = bool(_OTHER_NAMES.search(names)), bool(_TALK_NAMES.search(names))
+        self.has_main, self.points, self.chars, self.linked = False, _START.get(tag, 0.0), 0, 0
+        if _PART_NAMES.search(names):
+            self.points += _PART_POINTS
 
 
-def _is_other(tag: str, attributes: str) -> bool:
+def _read(tag: str, attributes: str) -> tuple[bool, str]:
+    """Whether an element is surely not of the article, and its class and id."""
     if tag in _OTHER:
-        return True
+        return True, ""
     if not attributes.strip():
-        return False
+        return False, ""
     found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    names = "" if tag in ("html", "body", "main") else f"{found.get('class', '')} {found.get('id', '')}"
+    names = "" if tag in _NO_NAMES else f"{found.get('class', '')} {found.get('id', '')}"
     return bool(
         found.get("role", "").lower() in _OTHER_ROLES
         or found.get("aria-hidden", "").lower() == "true"
         or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)
         or _HIDDEN.search(found.get("style", ""))
-        or _OTHER_NAMES.search(names)
-    )
+    ), names
+
+
+def _is_other(tag: str, attributes: str) -> bool:
+    other, names = _read(tag, attributes)
+    return other or bool(_OTHER_NAMES.search(names))
 
 
 def _blocks(page: str) -> list[tuple[_Node, str]]:
-    """Blocks of text in page order, each with the innermost block element around it."""
+    """Blocks of text in page order, each with the innermost block element around it.
+
+    An element named like a part beside the article goes, unless it is around the main element or
+    holds most of the page's text outside links; comments may hold most and go nevertheless.
+    """
     root = _Node("", None, False)
     stack, blocks, text, in_link = [root], [], [], False
     linked = 0
 
+    def count(node: _Node | None, words: str, level: int, sign: int) -> None:
+        while node:
+            node.chars += sign * len(words)
+            node.linked += sign * level
+            node = node.parent
+
     def flush() -> None:
         nonlocal linked
         words = " ".join("".join(text).split())
         if words and not stack[-1].other:
-            blocks.append((stack[-1], words))
-            node, level = stack[-1], min(linked, len(words))
-            while node:
-                node.chars += len(words)
-                node.linked += level
-                node = node.parent
+            blocks.append((stack[-1], words, min(linked, len(words))))
+            count(*blocks[-1], 1)
         text.clear()
         linked = 0
 
@@ -125,10 +145,29 @@ def _blocks(page: str) -> list[tuple[_Node, str]]:
             if tag in _CLOSED_BY_PEER:
                 close({"dt", "dd"} if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else {tag}, _CLOSED_BY_PEER[tag])
             if tag != "hr":
-                stack.append(_Node(tag, stack[-1], stack[-1].other or tag == "title" or _is_other(tag, match[3])))
+                other, names = _read(tag, match[3])
+                stack.append(_Node(tag, stack[-1], stack[-1].other or tag == "title" or other, names))
+                if tag == "main":
+                    for node in stack:
+                        node.has_main = True
     add(page[at:])
     flush()
-    return blocks
+    most, left = (root.chars - root.linked) / 2, []
+    gone: dict[int, bool] = {}
+    for node, _, _ in blocks:
+        way = []
+        while node and id(node) not in gone:
+            way.append(node)
+            node = node.parent
+        for n in reversed(way):
+            keeps = n.has_main or not n.talk and n.chars - n.linked > most
+            gone[id(n)] = bool(n.parent and gone[id(n.parent)]) or n.named and not keeps
+    for block in blocks:
+        if gone[id(block[0])]:
+            count(*block, -1)
+        else:
+            left.append(block[:2])
+    return left
 
 
 def _within(node: _Node | None, chosen: set[int]) -> bool:

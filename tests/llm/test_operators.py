@@ -439,6 +439,24 @@ def test_main_text(spark):
     assert html_main.extract(pages.limit(0)).count() == 0
 
 
+LONG = "A sentence of the article, with commas, and with words enough to count, stands here."
+
+
+@pytest.mark.parametrize("around", [
+    '<article class="post no-sidebar">', '<article class="widget">', '<div class="content-sidebar-wrap">', '<div class="has-share">',
+    '<div class="elementor-widget elementor-widget-text-editor">', '<div class="widget">', '<div class="sidebar-page"><main>',
+])
+def test_names_around_the_article_do_not_drop_it(around):
+    page = f"<body>{around}<h2 class='section-header'>Head</h2><p>{LONG}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be so.</p></body>"
+    assert html_main.main_text(page) == f"Head\n{LONG}\nLet x=1 be so."
+
+
+def test_named_parts_beside_the_article_go():
+    talk = f"<div class='comments-area'><p>{LONG * 9}</p></div>"
+    page = f"<body><div class='post'><p>{LONG}</p><div class='ad-slot'>Buy, buy.</div><div id='related'>{LONG}</div></div>{talk}</body>"
+    assert html_main.main_text(page) == LONG
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
