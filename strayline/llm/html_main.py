@@ -183,8 +183,9 @@ def main_text(page: str | None) -> str:
 
     Every block gives points for its length and commas: all to its container, half to the next, and
     a third, sixth, ... beyond. Points count less the more of an element's text is linked. The best
-    container is kept with those of its siblings that have points near its own, or that are blocks
-    of running text or headings; menus, forms, adverts and the like never count and are left out.
+    container is kept with those of its siblings that have points near its own, or few links, or that
+    are headings, and so are the siblings of the elements around it, up to the element marked as the
+    article or else the body. Beside a marked one only running text counts, headings, and points; menus, forms, adverts and the like never count and are left out.
     """
     blocks = _blocks(page or "")
     nodes: dict[int, _Node] = {}
@@ -207,7 +208,9 @@ def main_text(page: str | None) -> str:
         return ""
     enough = max(10.0, 0.2 * score(best))
     chosen = {id(best)}
-    if best.parent:
+    while best.parent:
+        # outside an element that is marked as the article only what looks like its text
+        is_marked = best.tag in ("article", "main")
         seen = set()
         for node, words in blocks:
             while node and node.parent is not best.parent:
@@ -216,9 +219,13 @@ def main_text(page: str | None) -> str:
                 continue
             seen.add(id(node))
             density = node.linked / node.chars
-            is_prose = node.tag == "p" and density < 0.25 and (node.chars > 80 or words.endswith((".", "!", "?")))
-            if score(node) >= enough or is_prose or node.tag in ("h1", "h2", "h3") and density < 0.5:
+            is_prose = node.tag == "p" and (node.chars > 80 or words.endswith((".", "!", "?")))
+            is_text = density < 0.25 and (is_prose or not is_marked)
+            if score(node) >= enough or is_text or node.tag in ("h1", "h2", "h3") and density < 0.5:
                 chosen.add(id(node))
+        if is_marked or best.parent.tag in ("body", "html", ""):
+            break
+        best = best.parent
     return "\n".join(words for node, words in blocks if _within(node, chosen))
 
 

@@ -457,6 +457,15 @@ def test_named_parts_beside_the_article_go():
     assert html_main.main_text(page) == LONG
 
 
+def test_short_parts_of_the_article_stay():
+    links = "<ul><li><a href=/a>Other page</a><li><a href=/b>One more page</a></ul>"
+    parts = f"<div><p>{LONG * 3}</p></div><div>Short one</div><ul><li>Item<li>Two</ul><blockquote>Quoted</blockquote>"
+    want = f"Head\n{LONG * 3}\nShort one\nItem\nTwo\nQuoted\nLast"
+    page = f"<body><div><div><h2>Head</h2>{parts}{links}</div><section>Last</section></div>{links}</body>"
+    assert html_main.main_text(page) == want
+    assert html_main.main_text(f"<body><main>{parts}</main><div>Beside it</div></body>") == want[5:-5]
+
+
 # --- pipeline ---------------------------------------------------------------------------------
 
 
