@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from strayline.llm.common import components, cut
@@ -58,19 +58,24 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big", signed=True)
 
 
+def _text_key() -> tuple[Column, Column]:
+    return F.xxhash64("text").alias("h"), F.hash("text").alias("g")
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [fingerprint(t.as_py()) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"]
+            [batch.column(0), *batch.columns[2:], pa.array(found, pa.int64())], ["doc_id", "h", "g", "fp"]
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, fp)``, one for each row of ``docs``; a null text counts as empty."""
+    """Rows ``(doc_id, h, g, fp)``, one for each row of ``docs``; a null text counts as empty. ``h``
+    and ``g`` are two hashes that tell the text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
-        _fingerprints, f"doc_id {id_type}, fp long"
+    return docs.select("doc_id", F.col("text").cast("binary"), *_text_key()).mapInArrow(
+        _fingerprints, f"doc_id {id_type}, h long, g int, fp long"
     )
 
 
@@ -112,6 +117,15 @@ def link(prints: DataFrame) -> DataFrame:
     )
 
 
+def _rooted(prints: DataFrame) -> DataFrame:
+    """Rows ``(fp, first, root)``: distinct fingerprints, their least ``doc_id`` and their group."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    roots = components(link(nodes.select("fp")))
+    return nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Fingerprint and group of every document: ``(doc_id, fingerprint, component_id)``.
 
@@ -122,12 +136,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id``. Repeated rows stay as many rows; an empty table gives none; other columns are
     not read.
     """
-    prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(link(nodes.select("fp")))
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    prints = cut(fingerprints(docs).select("doc_id", "fp"))
+    rooted = _rooted(prints)
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
@@ -136,12 +146,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that name their group: one of each, with all columns.
+    """One row of every group, with all columns.
 
-    Rows of one ``doc_id`` are one document and stay or go together; a row without ``doc_id`` stays
-    if its group has no document with one.
+    Rows are told by ``doc_id`` and text, so that a group decides on its own rows only. The row of
+    the least ``(doc_id, fingerprint)`` stays, one without ``doc_id`` only if its group has no
+    other; of rows equal in ``doc_id`` and text any one stays.
     """
-    found = near_duplicates(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    prints = cut(fingerprints(docs))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h", "g")
+    least = prints.groupBy("fp").agg(F.min(own).alias("least"))
+    kept = _rooted(prints).join(least, "fp").groupBy("root").agg(F.min("least").alias("k"))
+    kept = cut(kept.select(*[F.col(f"k.{c}").alias(f"_{c}") for c in ("doc_id", "h", "g")]))
+
+    def same(left: DataFrame, right: DataFrame) -> Column:
+        return left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["h"] == right["_h"]) & (left["g"] == right["_g"])
+
+    # rows that are equal to a kept one in id and text: few, so only those meet to leave one
+    twice = prints.groupBy("doc_id", "h", "g").count().where("count > 1")
+    twice = cut(twice.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "g")]))
+    rows = docs.select("*", *_text_key())
+    rows = rows.join(kept, same(rows, kept), "left_semi")
+    once = rows.join(twice, same(rows, twice), "left_anti")
+    again = rows.join(twice, same(rows, twice), "left_semi").dropDuplicates(["doc_id", "h", "g"])
+    return once.union(again).select(docs.columns)

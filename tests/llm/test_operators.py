@@ -226,6 +226,18 @@ def test_near_duplicates(spark, odd, no_docs):
     assert simhash.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_decides_by_row(make, odd):
+    """Rows without id, and one id with several texts."""
+    kept = Counter((r.doc_id, r.text and r.text[:30]) for r in simhash.keep_one(odd).collect())
+    first = next(r.text for r in odd.collect() if r.doc_id == 4)[:30]
+    want = [(1, None), (4, first), (5, "one"), (None, "no id here at all"), (6, "two words"), (7, "a" * 30), (5, "other text of five")]
+    assert kept == Counter(want)
+    rng = random.Random(16)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (None, a, "s"), (None, c, "s"), (None, c, "t"), (3, b, "s")]
+    assert Counter((r.doc_id, r.text) for r in simhash.keep_one(make(rows)).collect()) == Counter([(1, a), (2, b), (None, c)])
+
+
 def test_links_reach_every_pair_within_three_bits(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(40)]
