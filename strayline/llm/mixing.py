@@ -19,7 +19,8 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     source stops at MOST_COPIES times its own size and the excess goes to the others by weight. The
     fixed point is ``min(weight * level, cap)``. The total taken is concave in the level, a minimum
     of straight lines, one for each number of capped sources; so the level is the largest at which
-    a line reaches the whole size. One row per source is all that is sorted here.
+    a line reaches the whole size. One row per source is all that is sorted here, but by one task:
+    this is for sources by name, up to some millions, and not for a source per document.
     """
     per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     per = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
@@ -110,7 +111,7 @@ def mix(docs: DataFrame, seed: int = 0, fan: int = FAN) -> DataFrame:
     level, most = 0, 2
     while most > 1:
         groups = is_open.groupBy("source").agg(F.ceil(F.count("*") / fan).alias("groups"))
-        place = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "copy"), F.col("groups"))
+        place = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "copy", "size"), F.col("groups"))
         item = F.struct(F.xxhash64(F.lit(seed), "doc_id", "copy").alias("h"), "doc_id", "copy", "size", "p")
         folded = cut(
             is_open.alias("o")

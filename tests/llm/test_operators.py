@@ -10,6 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from strayline.llm import decontaminate, html_main, line_dedup, line_rules, masked_lm, mixing, quality_gam, simhash, spans, toxicity
 from strayline.llm.common import components, is_held_out, table
 
@@ -119,6 +121,19 @@ def test_mix_is_fair(make):
     assert np.mean([np.mean([r[i] for r in runs]) - share[i] for i in share]) == pytest.approx(0, abs=0.05)
 
 
+def test_mix_deals_out_rows_without_id(make, monkeypatch):
+    """Rows of one null id differ in size only; a fold must not get them all."""
+    largest = []
+
+    def fold(items, *args, of=mixing._fold):
+        largest.append(items)
+        return of(F.when(F.size(items) > 40, F.raise_error(F.lit("one group"))).otherwise(items), *args)
+
+    monkeypatch.setattr(mixing, "_fold", fold)
+    docs = make([(None, "w " * k, s) for k in range(1, 200) for s in ("a", "b")])
+    assert mixing.mix(docs, fan=8).count() == 398 and largest
+
+
 # --- line dedup -------------------------------------------------------------------------------
 
 
