@@ -265,5 +265,5 @@ def test_one_buffer_holds_all_texts():
     roles, texts = pa.array(["user", "assistant", "user"]), pa.array(["a<s>", None, "\\"])
     formatted, loss = chat_format.assemble(roles, texts, np.array([0, 2]))
     assert formatted.to_pylist() == ["<s>user[INST]a<\\s>[/INST]</s><s>assistant[INST][/INST]</s>", "<s>user[INST]\\\\[/INST]</s>"]
-    assert loss.to_pylist() == [[{"start": 48, "stop": 48}], []]
+    assert loss.to_pylist() == [[{"start": 47, "stop": 47}], []]
     assert sum(b.size for b in formatted.buffers()[2:]) == sum(len(t) for t in formatted.to_pylist())
