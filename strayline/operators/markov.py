@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strayline.functions import entropy_term, outlier_flag
 from strayline.operators.matrix import parse_states, state_grid, state_index
+from strayline.operators.sparse import SparseMatrix, sparse_matrix, with_sparse_terms
 from strayline.operators.sequences import (
     HOT_EVENTS,
     KEYS,
@@ -61,6 +62,13 @@ def transition_matrix(
     return scale_rows(cells, scale)
 
 
+def sparse_transitions(
+    events: DataFrame | SplitEvents, states: str | Sequence[str] | DataFrame, scale: float = 100
+) -> SparseMatrix:
+    """`transition_matrix` by its seen cells and one default per row, for any number of states."""
+    return sparse_matrix(transition_counts(events), states, scale)
+
+
 def scale_rows(cells: DataFrame, scale: float = 100) -> DataFrame:
     """Correct the rows that hold a zero and scale every row to the sum ``scale``."""
     row = Window.partitionBy("src_idx")
@@ -148,6 +156,16 @@ def _with_terms(steps: DataFrame, terms: DataFrame, states: Sequence[str]) -> Da
     )
 
 
+def _scored(
+    steps: DataFrame, matrix: DataFrame | SparseMatrix, states: str | Sequence[str] | None, metric: str, only_seen: bool
+) -> DataFrame:
+    """Steps with ``num`` and ``den``, by either form of matrix."""
+    if isinstance(matrix, SparseMatrix):
+        return with_sparse_terms(steps, matrix, check_metric(metric), F.hash(*KEYS, "pos"), only_seen)
+    names = parse_states(states)
+    return _with_terms(steps, step_terms(matrix, names, metric), names)
+
+
 def _metric(num: Column, den: Column) -> Column:
     """NULL (not NaN) for a sequence without a step."""
     return F.try_divide(num, den)
@@ -155,9 +173,10 @@ def _metric(num: Column, den: Column) -> Column:
 
 def sequence_metrics(
     events: DataFrame | SplitEvents,
-    matrix: DataFrame,
-    states: str | Sequence[str],
+    matrix: DataFrame | SparseMatrix,
+    states: str | Sequence[str] | None,
     metric: str,
+    only_seen: bool = False,
 ) -> DataFrame:
     """One row ``(site, user, metric)`` per sequence; NULL for a sequence of one event.
 
@@ -166,10 +185,10 @@ def sequence_metrics(
     - ``entreduc``: entropy of the rows without the actual target over their whole entropy, summed
       over the steps before dividing
 
-    The matrix enters as it is, so ``missprob`` ranges over 0..scale of the matrix.
+    The matrix enters as it is, so ``missprob`` ranges over 0..scale of the matrix. A sparse one
+    brings its states; ``only_seen`` says that it was learned from these events.
     """
-    names = parse_states(states)
-    scored = _with_terms(all_steps(events), step_terms(matrix, names, metric), names)
+    scored = _scored(all_steps(events), matrix, states, metric, only_seen)
     metrics = scored.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
     return metrics.select(*SEQUENCE, "metric")
 
@@ -188,12 +207,13 @@ def entropy_reduction(events, matrix: DataFrame, states) -> DataFrame:
 
 def score_sequences(
     events: DataFrame | SplitEvents,
-    matrix: DataFrame,
-    states: str | Sequence[str],
+    matrix: DataFrame | SparseMatrix,
+    states: str | Sequence[str] | None,
     metric: str,
     threshold: float,
     part_events: int = PART_EVENTS,
     hot_events: int = HOT_EVENTS,
+    only_seen: bool = False,
 ) -> DataFrame:
     """Score and flag every sequence: ``(site, user, part, states, metric, flag)``.
 
@@ -205,8 +225,6 @@ def score_sequences(
     partitioning by (site, user). The parts of hot sequences are written once with their sums,
     from which the totals come.
     """
-    names = parse_states(states)
-    lookup = step_terms(matrix, names, metric)
     split = split_events(events, hot_events)
     sums = [F.sum("num").alias("num"), F.sum("den").alias("den")]
     first = F.col("part") == 0
@@ -214,11 +232,11 @@ def score_sequences(
     whole = Window.partitionBy(*KEYS)
     total = _metric(F.sum("num").over(whole), F.sum("den").over(whole))
     columns = [*SEQUENCE, "part", "states", F.when(first, F.col("metric")).alias("metric")]
-    parts = in_parts(_with_terms(ordered_steps(split.cold, KEYS), lookup, names), part_events, *sums)
+    parts = in_parts(_scored(ordered_steps(split.cold, KEYS), matrix, states, metric, only_seen), part_events, *sums)
     scored = parts.withColumn("metric", total).select(*columns)
     if split.hot is not None:
         parts = write_scratch(
-            in_parts(_with_terms(sliced_steps(split.hot), lookup, names), part_events, *sums)
+            in_parts(_scored(sliced_steps(split.hot), matrix, states, metric, only_seen), part_events, *sums)
         )
         totals = parts.groupBy(*KEYS).agg(_metric(F.sum("num"), F.sum("den")).alias("metric"))
         totals = totals.select(*[F.col(c).alias(f"_of_{c}") for c in KEYS], "metric")

@@ -72,7 +72,7 @@ def split_events(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS)
     ranged = (
         events.join(keys, is_hot, "left_semi")
         .withColumn("_salt", F.rand(0))
-        .repartitionByRange(slices, *KEYS, *_order_names(events), "_salt")
+        .repartitionByRange(slices, *KEYS, *order_names(events), "_salt")
     )
     hot = write_scratch(ranged.withColumn("slice", F.spark_partition_id()).drop("_salt"))
     return SplitEvents(events.join(keys, is_hot, "left_anti"), _with_starts(hot))
@@ -81,7 +81,7 @@ def split_events(events: DataFrame | SplitEvents, hot_events: int = HOT_EVENTS)
 def _with_starts(hot: DataFrame) -> DataFrame:
     """Add ``start`` and ``before`` of the slices, a written table whose size Spark knows when it
     chooses the join."""
-    at = F.struct(*_order_names(hot))
+    at = F.struct(*order_names(hot))
     ends = hot.groupBy(*KEYS, "slice").agg(
         F.count(F.lit(1)).alias("n"), F.struct(F.max(at)["state"].alias("state")).alias("last")
     )
@@ -98,13 +98,14 @@ def _with_starts(hot: DataFrame) -> DataFrame:
     return hot.join(starts, same_keys("", "_of_", keys)).select(*hot.columns, "start", "before")
 
 
-def _order_names(events: DataFrame) -> list[str]:
+def order_names(events: DataFrame) -> list[str]:
+    """The columns that order the events of a sequence."""
     return [c for c in ("timestamp", "tiebreak", "state") if c in events.columns]
 
 
 def ordered_steps(events: DataFrame, keys: list[str], *more: str) -> DataFrame:
     """Each event with its position and a struct of the state before it (NULL at the start)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.asc(c) for c in _order_names(events)])
+    w = Window.partitionBy(*keys).orderBy(*[F.asc(c) for c in order_names(events)])
     return events.select(
         *keys,
         "state",

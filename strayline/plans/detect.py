@@ -11,7 +11,7 @@ from strayline.plans.markov import find_markov_outliers
 from strayline.operators.markov import check_metric
 from strayline.sources.loaders import load_points, load_states
 from strayline.sources.specs import field_spec
-from strayline.sources.store import check_new, read_results, write_params, write_results
+from strayline.sources.store import claimed, read_results, write_params, write_results
 
 # Algorithm names and the parameters each one needs.
 REQUIRED = {
@@ -54,15 +54,16 @@ def run_detection(
 ) -> DataFrame:
     """Read a source, detect, store results and parameters under ``uid``, return the stored rows.
 
-    The field spec registered for ``uid`` applies, else the default one. A ``uid`` that already
-    has results is refused before anything runs; a run that fails leaves none and can be repeated.
+    The field spec registered for ``uid`` applies, else the default one. A ``uid`` that has results
+    or is being run is refused before anything runs; a run that fails leaves none and can be
+    repeated.
     """
     check_params(algorithm, params)
     kind = _RESULT_KIND[algorithm]
-    check_new(spark, store, uid)
-    load = load_points if algorithm == "KMEANS" else load_states
-    data = load(spark, source, field_spec(spark, store, uid, kind), **source_options)
-    stored = {n: (t, params[n]) for n, t in STORED[algorithm].items()}
-    write_results(detect_outliers(data, algorithm, **params), store, uid, kind)
-    write_params(spark, store, uid, stored)
+    with claimed(spark, store, uid):
+        load = load_points if algorithm == "KMEANS" else load_states
+        data = load(spark, source, field_spec(spark, store, uid, kind), **source_options)
+        stored = {n: (t, params[n]) for n, t in STORED[algorithm].items()}
+        write_results(detect_outliers(data, algorithm, **params), store, uid, kind)
+        write_params(spark, store, uid, stored)
     return read_results(spark, store, uid, kind)

@@ -11,6 +11,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strayline.sources.store import read_records
+
 # Format and default options of each source.
 SOURCES: dict[str, tuple[str, dict[str, str]]] = {
     "FILE": ("parquet", {}),
@@ -58,10 +60,13 @@ def source_options(source: str, **options: Any) -> tuple[str, dict[str, str]]:
 
 
 def read_source(spark: SparkSession, source: str, schema: Any = None, **options: Any) -> DataFrame:
-    """Read a source. For FILE the ``format`` option is parquet, csv, json or orc.
+    """Read a source. For FILE the ``format`` option is parquet, csv, json or orc, or ``tracked`` for
+    a table of `create_store`.
 
     Text files should come with a ``schema``: without one every column of a csv file is text.
     """
     name, opts = source_options(source, **options)
+    if name == "tracked":
+        return read_records(spark, opts["path"])
     reader = spark.read.format(name).options(**opts)
     return (reader.schema(schema) if schema is not None else reader).load()

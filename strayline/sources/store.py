@@ -1,12 +1,15 @@
 """Store of runs: results, parameters and field specs as tables under one folder.
 
 Every table has one ``uid=...`` folder per run, so reading a run touches only its own files, and
-writing one is a single job that commits as a whole.
+writing one is a single job that commits as a whole. Tracked records come in batches, each in a
+folder of its own, and a list of commits says which folders count.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 from uuid import uuid4
 
@@ -14,6 +17,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from strayline.sources.files import create_new, exists, remove
+
 # Topics of a result request and the table each one is kept in.
 RESULT_TABLES = {"vector": "points", "state": "outliers"}
 
@@ -67,6 +72,28 @@ def check_new(spark: SparkSession, store: str, uid: str) -> None:
         raise ValueError(f"uid '{uid}' has already been run")
 
 
+@contextmanager
+def claimed(spark: SparkSession, store: str, uid: str) -> Iterator[None]:
+    """Hold ``uid`` for one run: while it is held, or once it has a result, others get ValueError.
+
+    The claim is a file that only one can make. It goes when the run ends, whether it succeeded or
+    failed; a driver that was killed leaves it, and `release` takes it away.
+    """
+    path = f"{store}/claims/{check_uid(uid)}"
+    if not create_new(spark, path, spark.sparkContext.applicationId):
+        raise ValueError(f"uid '{uid}' is being run; if that run was killed, release the uid first")
+    try:
+        check_new(spark, store, uid)
+        yield
+    finally:
+        remove(spark, path)
+
+
+def release(spark: SparkSession, store: str, uid: str) -> None:
+    """Take away the claim that a killed run has left."""
+    remove(spark, f"{store}/claims/{check_uid(uid)}")
+
+
 def write_params(
     spark: SparkSession, store: str, uid: str, params: dict[str, tuple[str, Any]]
 ) -> None:
@@ -82,18 +109,43 @@ def read_params(spark: SparkSession, store: str, uid: str) -> DataFrame:
 
 
 def create_store(spark: SparkSession, path: str, schema: StructType | str) -> None:
-    """Create an empty table for tracked records; refused if the path exists."""
-    spark.createDataFrame([], schema).coalesce(1).write.mode("errorifexists").parquet(path)
+    """Create an empty table for tracked records; refused if the path has one."""
+    spark.createDataFrame([], schema).coalesce(1).write.mode("errorifexists").parquet(f"{path}/schema")
 
 
-def append_records(df: DataFrame, path: str) -> None:
+def append_records(df: DataFrame, path: str, batch: str | None = None) -> bool:
     """Append records to a table made by `create_store`, as its columns in its types.
 
-    A missing column or a value that does not fit is an error.
+    A missing column or a value that does not fit is an error. A ``batch`` is added once: a repeated
+    or concurrent attempt to add it adds nothing and returns False. Every attempt writes a folder of
+    its own, and the one file that commits the batch names the folder that counts; so readers see
+    whole batches, and what a failed attempt has written is never read.
     """
-    schema = df.sparkSession.read.parquet(path).schema
+    spark = df.sparkSession
+    batch = check_uid(batch) if batch is not None else uuid4().hex
+    commit = f"{path}/commits/{batch}"
+    schema = spark.read.parquet(f"{path}/schema").schema
     fields = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    df.select(*fields).write.mode("append").parquet(path)
+    records = df.select(*fields)
+    if exists(spark, commit):
+        return False
+    folder = f"{batch}-{uuid4().hex}"
+    records.write.parquet(f"{path}/data/{folder}")
+    if create_new(spark, commit, folder):
+        return True
+    remove(spark, f"{path}/data/{folder}")
+    return False
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all committed batches of a table made by `create_store`."""
+    schema = spark.read.parquet(f"{path}/schema").schema
+    folders = []
+    if exists(spark, f"{path}/commits"):
+        folders = [r["value"] for r in spark.read.text(f"{path}/commits").collect()]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{f}" for f in sorted(folders)])
 
 
 def scratch_folder(spark: SparkSession) -> str:

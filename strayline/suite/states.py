@@ -11,6 +11,8 @@ from strayline.operators.markov import (
     miss_prob,
     miss_rate,
     score_sequences,
+    sequence_metrics,
+    sparse_transitions,
     transition_counts,
     transition_matrix,
 )
@@ -26,9 +28,10 @@ from strayline.operators.matrix import (
     state_index,
 )
 from strayline.operators.sequences import build_sequences, split_events, state_pairs
+from strayline.operators.sparse import dense, sparse_column_sums, sparse_row_stats
 from strayline.plans.detect import detect_outliers
 from strayline.plans.markov import find_markov_outliers
-from strayline.sources.specs import apply_field_spec
+from strayline.sources.specs import Field, apply_field_spec
 from strayline.suite.tables import (
     EVENT_SPEC,
     EVENT_STATES,
@@ -170,7 +173,73 @@ def q_score_by_other(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_sparse_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of a sparse matrix in which every row has unseen ones."""
+    return dense(sparse_transitions(event_states(spark, sf_dir), WITH_REFUND)).withColumn("p", rounded("p"))
+
+
+def q_sparse_row_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = ["row_sum", "row_min", "row_max", "row_entropy"]
+    stats = sparse_row_stats(sparse_transitions(event_states(spark, sf_dir), WITH_REFUND, 1))
+    return stats.select("src", "best", *[rounded(c).alias(c) for c in numbers])
+
+
+def q_sparse_col_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = sparse_column_sums(sparse_transitions(event_states(spark, sf_dir), WITH_REFUND))
+    return sums.withColumn("col_sum", rounded("col_sum"))
+
+
+def q_sparse_score_by_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `q_score_by_other`, by a sparse matrix: steps without a cell take the default of their row."""
+    orders = apply_field_spec(table(spark, sf_dir, "orders"), ORDER_SPEC, tiebreak="o_orderkey")
+    by_priority = sparse_transitions(orders, ORDER_STATES)
+    return _text(score_sequences(order_states(spark, sf_dir), by_priority, None, "entreduc", 0.6))
+
+
+PART_SPEC = [
+    Field("site", "string", "site"),
+    Field("user", "string", "l_suppkey"),
+    Field("timestamp", "long", "l_orderkey"),
+    Field("state", "string", "l_partkey"),
+]
+
+
+def _part_steps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The parts that each supplier delivers, in the order of orders, and all parts as states."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("site", F.lit("all"))
+    parts = table(spark, sf_dir, "part")
+    states = parts.select(F.col("p_partkey").cast("string").alias("state"), F.col("p_partkey").cast("int").alias("idx"))
+    return apply_field_spec(lines, PART_SPEC, tiebreak="l_linenumber"), states
+
+
+def _part_metric(metric: str, only_seen: bool) -> Query:
+    """A metric by a matrix over as many states as there are parts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events, states = _part_steps(spark, sf_dir)
+        split = split_events(events)
+        scored = sequence_metrics(split, sparse_transitions(split, states, 1), None, metric, only_seen)
+        return scored.withColumn("metric", rounded("metric"))
+
+    return run
+
+
+def q_parts_by_others(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The even suppliers scored by what the odd ones do: most of their steps have no seen cell."""
+    events, states = _part_steps(spark, sf_dir)
+    is_even = F.col("user").cast("long") % 2 == 0
+    matrix = sparse_transitions(events.where(~is_even), states, 1)
+    return sequence_metrics(events.where(is_even), matrix, None, "missprob").withColumn("metric", F.round("metric", 9) + 0.0)
+
+
 QUERIES: dict[str, Query] = {
+    "sparse_dense": q_sparse_dense,
+    "sparse_row_stats": q_sparse_row_stats,
+    "sparse_col_sums": q_sparse_col_sums,
+    "sparse_score_by_other": q_sparse_score_by_other,
+    "sparse_missrate_parts": _part_metric("missrate", True),
+    "sparse_entreduc_parts": _part_metric("entreduc", True),
+    "sparse_missprob_other_parts": q_parts_by_others,
     "field_mapping_orders": q_mapping_orders,
     "field_mapping_events": q_mapping_events,
     "state_index": q_state_index,
@@ -279,6 +348,30 @@ def _counts_oracle(st: str) -> str:
 select src, dst, count(*) as support from p where dst is not null group by all"""
 
 
+def _parts_sql(metric: str, trained: str = "true", scored: str = "true", digits: int = 6) -> str:
+    """Metrics over the parts as states, without their grid: seen cells and the rest of each row."""
+    return f"""with st as (select 'all' as site, cast(l_suppkey as varchar) as usr, l_orderkey as t,
+  l_linenumber as tb, cast(l_partkey as varchar) as state from lineitem),
+w as (select * from (select site, usr, state as src,
+  lead(state) over (partition by site, usr order by t, tb, state) as dst from st) where dst is not null),
+k as (select count(*) as n from part),
+c as (select src, dst, count(*) as c from w where {trained} group by all),
+o as (select src, n, case when count(*) < n then 1 else 0 end as plus, sum(c) as s from c, k group by src, n),
+m as (select src, dst, (c + plus)::double / (s + plus * n) as p from c join o using (src)),
+h as (select src, count(*) as seen, sum(p) as s, sum(-p * ln(p)) as h,
+  arg_min(dst, struct_pack(a := -p, b := dst::int)) as best from m group by src),
+r as (select p_partkey::varchar as src, k.n - coalesce(seen, 0) as rest,
+  case when h.src is null then 1.0::double / k.n when plus = 1 then 1.0::double / (o.s + k.n) else 0 end as d,
+  coalesce(best, '0') as best, coalesce(h.s, 0) as s, coalesce(h.h, 0) as h
+  from part cross join k left join h on h.src = p_partkey::varchar left join o on o.src = p_partkey::varchar),
+x as (select usr, w.dst, coalesce(m.p, d) as p, best, r.s + rest * d as rs,
+  r.h + case when rest > 0 then -rest * d * ln(d) else 0 end as g
+  from w join r on r.src = w.src left join m on m.src = w.src and m.dst = w.dst where {scored}),
+v as (select usr, {metric} as metric from x group by usr)
+select 'all' as site, usr as "user", round(metric, {digits}) + 0.0 as metric
+from (select distinct usr from st where {scored}) left join v using (usr)"""
+
+
 _E, _O = EVENT_STATES_SQL, ORDER_STATES_SQL
 _EVENT_M = f"with {_E}, {matrix_sql(EVENT_STATES, 100)}"
 _ORDERS_BY_PRIORITY = _O.replace("st as", "st2 as").replace("'all'", "o_orderpriority")
@@ -325,4 +418,14 @@ select src, dst, src_idx, dst_idx, round(p, 6) + 0.0 as p from m""",
     "markov_detect": flags_oracle(_E, EVENT_STATES, "missprob", 0.8, 1),
     "markov_score_by_other": f"""with {_O}, {_ORDERS_BY_PRIORITY},
 {matrix_sql(ORDER_STATES, 100, "2")}, {scored_sql("entreduc", "2")} {flags_select(0.6)}""",
+    "sparse_dense": _matrix_oracle(_E, WITH_REFUND),
+    "sparse_row_stats": f"""with {_E}, {matrix_sql(WITH_REFUND, 1)}
+select src, best, round(rs, 6) + 0.0 as row_sum, round(lo, 6) + 0.0 as row_min,
+  round(hi, 6) + 0.0 as row_max, round(g, 6) + 0.0 as row_entropy from r""",
+    "sparse_col_sums": f"""with {_E}, {matrix_sql(WITH_REFUND, 100)}
+select dst, round(sum(p), 6) + 0.0 as col_sum from m group by dst""",
+    "sparse_missrate_parts": _parts_sql("avg(case when best = dst then 0.0::double else 1 end)"),
+    "sparse_entreduc_parts": _parts_sql("sum(g + p * ln(p)) / sum(g)"),
+    "sparse_missprob_other_parts": _parts_sql("avg(rs - p)", "usr::int % 2 = 1", "usr::int % 2 = 0", 9),
 }
+ORACLE["sparse_score_by_other"] = ORACLE["markov_score_by_other"]

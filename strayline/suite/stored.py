@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strayline.operators.clusters import assign_nearest, top_per_cluster
+from strayline.operators.markov import sequence_metrics
+from strayline.operators.sparse import dense, sparse_matrix
+from strayline.operators.support import add_support, store_support, stored_matrix, train_support
 from strayline.plans.detect import run_detection
 from strayline.sources.readers import read_source
 from strayline.sources.loaders import load_points, load_states
@@ -13,6 +16,7 @@ from strayline.sources.store import (
     append_records,
     create_store,
     read_params,
+    read_records,
     read_results,
     scratch_folder,
     write_results,
@@ -79,7 +83,7 @@ def _stored_cells(spark: SparkSession, sf_dir: str) -> str:
 
 def q_load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells stored, read as a source with the default field spec, and assembled."""
-    return load_points(spark, "FILE", path=_stored_cells(spark, sf_dir)).select(
+    return load_points(spark, "FILE", path=_stored_cells(spark, sf_dir), format="tracked").select(
         "id", "label", F.posexplode("features").alias("pos", "val")
     )
 
@@ -104,17 +108,48 @@ def q_registered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open and closed orders appended one after the other to a table of tracked records."""
+    """Open and closed orders appended one after the other to a table of tracked records; the second
+    batch is sent again, as after a lost answer."""
     path = f"{scratch_folder(spark)}/tracked"
     orders = load_states(spark, "FILE", ORDER_SPEC, path=f"{sf_dir}/orders.parquet")
     create_store(spark, path, orders.schema)
     is_open = F.col("state") == "O"
-    append_records(orders.where(is_open), path)
-    append_records(orders.where(~is_open), path)
-    return spark.read.parquet(path)
+    append_records(orders.where(is_open), path, "open")
+    for _ in range(2):
+        append_records(orders.where(~is_open), path, "closed")
+    return read_records(spark, path)
+
+
+def _halves(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events up to the middle of their time, and those after."""
+    events = states.event_states(spark, sf_dir)
+    middle = events.agg((F.min("timestamp") + (F.max("timestamp") - F.min("timestamp")) / 2).alias("m")).scalar()
+    timed = events.withColumn("_m", middle)
+    return [timed.where(of_half).drop("_m") for of_half in (F.col("timestamp") <= F.col("_m"), F.col("timestamp") > F.col("_m"))]
+
+
+def q_support_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on the first half, the second added: the matrix of all events."""
+    first, second = _halves(spark, sf_dir)
+    counts = add_support(train_support(first), second).counts
+    return dense(sparse_matrix(counts, states.WITH_REFUND)).withColumn("p", rounded("p"))
+
+
+def q_support_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both halves kept in a store, the second one sent twice; the second is scored by what is kept."""
+    store = scratch_folder(spark)
+    first, second = _halves(spark, sf_dir)
+    store_support(first, store, RUN, "first")
+    for _ in range(2):
+        store_support(second, store, RUN, "second")
+    matrix = stored_matrix(spark, store, RUN, states.EVENT_STATES)
+    scored = sequence_metrics(second, matrix, None, "missprob")
+    return scored.withColumn("metric", rounded("metric"))
 
 
 QUERIES = {
+    "support_added": q_support_added,
+    "support_stored": q_support_stored,
     "results_roundtrip_points": q_results_points,
     "load_points": q_load_points,
     "run_markov_stored": q_run_markov,
@@ -123,6 +158,7 @@ QUERIES = {
     "store_append": q_store_append,
 }
 
+_WHOLE = states.EVENT_STATES_SQL.replace("st as", "st1 as")
 _BY_PRIORITY = states.ORDER_STATES_SQL.replace("'all'", "o_orderpriority")
 
 ORACLE = {
@@ -136,4 +172,8 @@ from r where rn <= 3""",
 select '{RUN}' as uid, site, "user", metric, flag, flag as again from f""",
     "registered_fields": states.ORACLE["field_mapping_orders"],
     "store_append": states.ORACLE["field_mapping_orders"],
+    "support_added": states.ORACLE["transition_matrix_laplace"],
+    "support_stored": f"""with {_WHOLE}, {states.matrix_sql(states.EVENT_STATES, 100, "1")},
+st as (select st1.* from st1, (select min(t) + (max(t) - min(t)) / 2 as middle from st1) where t > middle),
+{states.scored_sql("missprob", "1")} select site, usr as "user", round(metric, 6) + 0.0 as metric from sc""",
 }

@@ -1,6 +1,8 @@
 import datetime
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from strayline.plans.detect import detect_outliers, run_detection
 from strayline.sources.loaders import load_points, load_states
@@ -9,7 +11,7 @@ from strayline.sources.specs import (
     DEFAULT_SPECS, Field, apply_field_spec, field_spec, read_fields, register_fields,
 )
 from strayline.sources.store import (
-    append_records, create_store, read_params, read_results, scratch_folder, write_params,
+    append_records, claimed, create_store, read_params, read_records, read_results, release, scratch_folder, write_params,
     write_results,
 )
 
@@ -162,16 +164,64 @@ def test_params(spark, tmp_path):
 def test_tracked_records(spark, tmp_path):
     path = f"{tmp_path}/t"
     create_store(spark, path, "id long, name string")
-    assert spark.read.parquet(path).collect() == []
+    assert read_records(spark, path).collect() == []
     append_records(spark.createDataFrame([("b", 2)], "name string, id int"), path)
     append_records(spark.createDataFrame([(1, "a")], "id long, name string"), path)
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, read_records(spark, path).collect())) == [(1, "a"), (2, "b")]
+    assert sorted(map(tuple, read_source(spark, "FILE", path=path, format="tracked").collect())) == [(1, "a"), (2, "b")]
     with pytest.raises(Exception, match="UNRESOLVED_COLUMN"):
         append_records(spark.createDataFrame([(1,)], "id long"), path)
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         create_store(spark, path, "id long")
 
 
+def test_a_batch_is_added_once(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    create_store(spark, path, "id long")
+    one, two = spark.range(3), spark.range(10, 12)
+    assert append_records(one, path, "b1") and not append_records(one, path, "b1")
+    broken = two.withColumn("id", F.when(F.col("id") > 10, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        append_records(broken, path, "b2")
+    two.write.parquet(f"{path}/data/b2-left-behind")  # what an attempt that was killed leaves
+    assert read_records(spark, path).count() == 3
+    with ThreadPoolExecutor(4) as pool:
+        added = list(pool.map(lambda _: append_records(two, path, "b2"), range(4)))
+    assert sum(added) == 1
+    assert sorted(r["id"] for r in read_records(spark, path).collect()) == [0, 1, 2, 10, 11]
+
+
+def test_a_uid_is_claimed_by_one(spark, tmp_path, events_path):
+    store = f"{tmp_path}/store"
+    params = dict(scale=1, states="A,B", strategy="missprob", threshold=0.4)
+
+    def run(_):
+        try:
+            run_detection(spark, store, "r", "MARKOV", "FILE", {"path": events_path}, **params)
+            return "ran"
+        except ValueError as e:
+            return str(e)
+
+    with ThreadPoolExecutor(3) as pool:
+        ended = list(pool.map(run, range(3)))
+    assert ended.count("ran") == 1 and all("uid 'r'" in e for e in ended if e != "ran")
+    with claimed(spark, store, "held"), pytest.raises(ValueError, match="is being run"):
+        run_detection(spark, store, "held", "MARKOV", "FILE", {"path": events_path}, **params)
+    with pytest.raises(Exception, match="state not declared"):  # a failed run lets go of its uid
+        run_detection(spark, store, "again", "MARKOV", "FILE", {"path": events_path}, **{**params, "states": "A"})
+    run_detection(spark, store, "again", "MARKOV", "FILE", {"path": events_path}, **params)
+
+
+def test_a_claim_left_behind_is_released(spark, tmp_path):
+    held = claimed(spark, str(tmp_path), "u")
+    held.__enter__()
+    with pytest.raises(ValueError, match="release"), claimed(spark, str(tmp_path), "u"):
+        pass
+    release(spark, str(tmp_path), "u")
+    with claimed(spark, str(tmp_path), "u"):
+        pass
+
+
 def test_scratch_folder_is_the_one_the_cluster_names():
     class Session:
         conf = {"spark.checkpoint.dir": "s3a://shared/tmp/"}
