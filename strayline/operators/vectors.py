@@ -5,10 +5,10 @@ A *point* is ``(id LONG, label STRING, features ARRAY<DOUBLE>)``.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from strayline.operators.moments import exact_moments
+
 
 def assemble_points(cells: DataFrame) -> DataFrame:
     """Long-form cells ``(row, col, lbl, val)`` to one dense point per row, ordered by column.
@@ -43,38 +43,13 @@ def assemble_points(cells: DataFrame) -> DataFrame:
     )
 
 
-def with_vector(points: DataFrame) -> DataFrame:
-    """``(id, label, vector)``: the form the ML estimators read."""
-    return points.select("id", "label", array_to_vector("features").alias("vector"))
-
-
-def _summary(points: DataFrame) -> DataFrame:
-    """One row ``(n, mean, stdev)`` from one pass; raises if the vectors differ in length.
+def feature_stats(points: DataFrame) -> DataFrame:
+    """Per feature: ``(pos, n, total, mean, stdev)`` with the population standard deviation.
 
-    No points give no row, hence the constant group. The summarizer reports the sample variance; scaling by ``(n-1)/n`` gives the population one.
+    The figures are exact sums, rounded once: the same in every order and partitioning of the points.
+    Raises if the vectors differ in length.
     """
-    metrics = Summarizer.metrics("count", "mean", "variance")
-    summed = (
-        points.select(array_to_vector("features").alias("v"))
-        .groupBy(F.lit("all"))
-        .agg(metrics.summary(F.col("v")).alias("s"))
-    )
-    n = F.col("s.count")
-    return summed.select(
-        n.alias("n"),
-        vector_to_array("s.mean").alias("mean"),
-        F.transform(vector_to_array("s.variance"), lambda v: F.sqrt(v * (n - 1) / n)).alias("stdev"),
-    )
-
-
-def feature_stats(points: DataFrame) -> DataFrame:
-    """Per feature: ``(pos, n, total, mean, stdev)`` with the population standard deviation."""
-    stats = points.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(
-        F.count("*").alias("n"),
-        F.sum("x").alias("total"),
-        F.avg("x").alias("mean"),
-        F.stddev_pop("x").alias("stdev"),
-    )
+    stats = exact_moments(points)
     most = F.max("n").over(Window.partitionBy())  # one row per feature
     unequal = F.raise_error(F.lit("points have vectors of unequal length")).cast("long")
     n = F.when(F.col("n") == most, F.col("n")).otherwise(unequal)
@@ -87,7 +62,8 @@ def zscore(points: DataFrame) -> DataFrame:
     The statistics (two values per feature) come in as a scalar subquery: the points are not
     joined or shuffled.
     """
-    spread = F.transform("stdev", lambda s: F.when(s > 0, s).otherwise(1.0)).alias("spread")
-    stats = _summary(points).select("mean", spread).select(F.arrays_zip("mean", "spread")).scalar()
+    spread = F.when(F.col("stdev") > 0, F.col("stdev")).otherwise(1.0)
+    of_feature = F.struct("pos", F.when(F.col("n") > 0, F.col("mean")).alias("mean"), spread.alias("spread"))
+    stats = feature_stats(points).agg(F.sort_array(F.collect_list(of_feature))).scalar()
     scaled = F.zip_with("features", "_stats", lambda x, s: (x - s["mean"]) / s["spread"])
     return points.withColumn("_stats", stats).select("id", "label", scaled.alias("features"))

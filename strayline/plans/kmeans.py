@@ -3,31 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
-from typing import NamedTuple
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, functions as F
 
-from strayline.functions import euclidean
 from strayline.operators.clusters import best_k, centers_frame, top_per_cluster
 from strayline.operators.entropy import str_entropy
-from strayline.operators.vectors import with_vector, zscore
+from strayline.operators.lloyd import Model, Packed, assign, fit, measure, pack
+from strayline.operators.moments import exact_moments
+from strayline.operators.vectors import zscore
 from strayline.sources.store import write_scratch
 
 # Numbers of clusters that are tried.
 SWEEP_KS = (5, 10, 15, 20, 25, 30, 35, 40)
 STRATEGIES = ("distance", "entropy")
 SEED = 42
-# Fits that run at the same time; each one already uses the whole cluster.
-PARALLEL_FITS = 4
-# Up to this many feature values (about 2 GB with overhead) each fit may keep its own copy.
-OWN_COPY_VALUES = 100_000_000
-# Partitions of the points that a fit reads, at every size; more for larger input.
-FIT_PARTITIONS = 32
 
 
 def check_strategy(strategy: str) -> str:
@@ -36,97 +28,59 @@ def check_strategy(strategy: str) -> str:
     return strategy
 
 
-def fit_kmeans(vectors: DataFrame, k: int, iterations: int, seed: int = SEED) -> KMeansModel:
-    """Fit ``k`` centers on ``(id, label, vector)`` with at most ``iterations`` rounds."""
-    estimator = KMeans(
-        featuresCol="vector", predictionCol="cluster", k=k, maxIter=iterations, seed=seed
-    )
-    return estimator.fit(vectors)
-
-
-def model_centers(model: KMeansModel, vectors: DataFrame) -> DataFrame:
-    """The model's centers as ``(cluster, center)``."""
-    return centers_frame(vectors.sparkSession, list(enumerate(model.clusterCenters())))
-
-
-def _centers_by_k(vectors: DataFrame, models: dict[int, KMeansModel]) -> Column:
-    """One value ``{k: centers by cluster}``, as a scalar subquery; the driver holds the models."""
-    centers = {k: [[float(x) for x in c] for c in m.clusterCenters()] for k, m in models.items()}
-    return vectors.sparkSession.createDataFrame(
-        [(centers,)], "centers map<int, array<array<double>>>"
-    ).scalar()
-
-
-class Kept(NamedTuple):
-    """Cached vectors, the frame to give to a fit, and their number."""
-
-    vectors: DataFrame
-    to_fit: DataFrame
-    rows: int
-
-
-def dealt(vectors: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """The layout that a fit reads: dealt by ``id`` into so many partitions and ordered in them,
-    whatever the source's files and the cluster's cores are, for a fit depends on it."""
-    return vectors.repartition(partitions, "id").sortWithinPartitions("id", "label")
-
-
 @contextmanager
-def _kept(vectors: DataFrame, partitions: int = FIT_PARTITIONS) -> Iterator[Kept]:
-    """Keep the vectors while fits read them; a lost block is computed again.
+def _kept(points: DataFrame) -> Iterator[Packed | None]:
+    """Keep the points, packed, while passes read them; a lost block is computed again.
 
-    All fits share this one compact copy. Only up to a fixed size does each fit also keep its own
-    copy of unpacked vectors, which Spark does when the frame it is given is not cached itself.
+    They are dealt out evenly, in as many partitions as their size asks for. None: no points.
     """
-    kept = dealt(vectors, partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = pack(points, SEED).hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        first = kept.agg(F.count(F.lit(1)).alias("n"), F.first("vector").alias("v")).first()
-        values = first["n"] * (first["v"].size if first["n"] else 0)
-        yield Kept(kept, kept.select("vector") if values <= OWN_COPY_VALUES else kept, first["n"])
+        yield measure(kept)
     finally:
         kept.unpersist()
 
 
-def _fit_all(kept: Kept, ks: Sequence[int], iterations: int) -> dict[int, KMeansModel]:
-    @inheritable_thread_target(kept.vectors.sparkSession)
-    def fit(k: int) -> KMeansModel:
-        return fit_kmeans(kept.to_fit, k, iterations)
+def fit_kmeans(points: DataFrame, k: int, iterations: int, seed: int = SEED) -> Model:
+    """The centers, a row each, of a fit of ``(id, label, features)`` with at most ``iterations``
+    rounds. Order, files and partitions of the points do not change it; fewer different points than
+    ``k`` are as many centers."""
+    with _kept(points) as kept:
+        if kept is None:
+            raise ValueError("no points to fit")
+        return fit(kept, [k], iterations, seed)[k]
 
-    with ThreadPoolExecutor(max_workers=min(PARALLEL_FITS, len(ks))) as pool:
-        return dict(zip(ks, pool.map(fit, ks)))
 
+def model_centers(model: Model, points: DataFrame) -> DataFrame:
+    """The model's centers as ``(cluster, center)``."""
+    return centers_frame(points.sparkSession, list(enumerate(model)))
 
-def score_models(vectors: DataFrame, models: dict[int, KMeansModel], strategy: str) -> DataFrame:
+
+def _scores(points: DataFrame, models: dict[int, Model], strategy: str) -> DataFrame:
+    """`score_models` of packed points."""
+    ks = F.array(*[F.lit(k) for k in models])
+    assigned = assign(points, list(models.values()), with_features=False)
+    if strategy == "entropy":
+        choices = F.arrays_zip(ks.alias("k"), F.col("clusters").alias("cluster"))
+        chosen = assigned.select("label", F.explode(choices).alias("c")).select("c.*", "label")
+        per_cluster = str_entropy(chosen, ["k", "cluster"], "label")
+        ordered = F.sort_array(F.collect_list(F.struct("cluster", "entropy")))  # one value per cluster
+        total = F.aggregate(ordered, F.lit(0.0), lambda acc, c: acc + c["entropy"])
+        return per_cluster.groupBy("k").agg((total / F.count(F.lit(1))).alias("score"))
+    means = exact_moments(assigned, "distances")
+    return means.select(F.get(ks, F.col("pos")).alias("k"), F.col("mean").alias("score"))
+
+
+def score_models(points: DataFrame, models: dict[int, Model], strategy: str) -> DataFrame:
     """``(k, score)`` of every model, from one pass over the points.
 
     Each point is put into a cluster of each model; the (k, cluster) rows that come of it are
-    combined before they are shuffled.
+    combined before they are shuffled, and distances are added exactly.
     """
-    predicted = vectors
-    for k, model in models.items():
-        predicted = model.copy({model.predictionCol: f"cluster_{k}"}).transform(predicted)
-    choices = F.array(
-        *[F.struct(F.lit(k).alias("k"), F.col(f"cluster_{k}").alias("cluster")) for k in models]
-    )
-    if strategy == "entropy":
-        chosen = predicted.select("label", F.explode(choices).alias("c")).select("c.*", "label")
-        return str_entropy(chosen, ["k", "cluster"], "label").groupBy("k").agg(
-            F.avg("entropy").alias("score")
-        )
-    held = predicted.withColumn("features", vector_to_array("vector")).withColumn(
-        "centers", _centers_by_k(vectors, models)
-    )
-    means = held.agg(
-        *[F.avg(euclidean("features", F.col("centers")[k][F.col(f"cluster_{k}")])).alias(f"d{k}") for k in models]
-    )
-    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"d{k}").alias("score")) for k in models])
-    return means.select(F.inline(rows))
+    return _scores(pack(points, SEED), models, check_strategy(strategy))
 
 
-def sweep_k(
-    points: DataFrame, strategy: str, iterations: int, ks: Sequence[int] = SWEEP_KS,
-    partitions: int = FIT_PARTITIONS,
-) -> DataFrame:
+def sweep_k(points: DataFrame, strategy: str, iterations: int, ks: Sequence[int] = SWEEP_KS) -> DataFrame:
     """Score every k: ``(k, score)``, less is better.
 
     - ``entropy``: mean label entropy of the clusters; unweighted, and a cluster of one point
@@ -134,62 +88,60 @@ def sweep_k(
     - ``distance``: mean distance of the points to their center, which falls as k grows
     """
     check_strategy(strategy)
-    with _kept(with_vector(points), partitions) as kept:
-        models = _fit_all(kept, ks, iterations) if kept.rows else {}
-        scores = score_models(kept.vectors, models, strategy).collect() if models else []
-        rows = [(r["k"], r["score"]) for r in scores]
+    rows = []
+    with _kept(points) as kept:
+        if kept:
+            models = fit(kept, ks, iterations, SEED)
+            rows = [(r["k"], r["score"]) for r in _scores(kept.points, models, strategy).collect()]
     return points.sparkSession.createDataFrame(rows, "k int, score double")
 
 
-def _choose(
-    kept: Kept, strategy: str, iterations: int, ks: Sequence[int]
-) -> tuple[int, KMeansModel] | None:
-    """Best k and its model; None if there are no points to choose by."""
-    if not kept.rows:
-        return None
-    models = _fit_all(kept, ks, iterations)
-    k = best_k(score_models(kept.vectors, models, strategy)).first()["k"]
+def _choose(kept: Packed, strategy: str, iterations: int, ks: Sequence[int]) -> tuple[int, Model]:
+    """Best k and its model."""
+    models = fit(kept, ks, iterations, SEED)
+    k = best_k(_scores(kept.points, models, strategy)).first()["k"]
     return k, models[k]
 
 
 def prepare(
-    points: DataFrame, strategy: str = "entropy", iterations: int = 20,
-    ks: Sequence[int] = SWEEP_KS, partitions: int = FIT_PARTITIONS,
+    points: DataFrame, strategy: str = "entropy", iterations: int = 20, ks: Sequence[int] = SWEEP_KS
 ) -> tuple[int, DataFrame]:
     """Normalize the points and choose k; returns ``(k, normalized points)``."""
     check_strategy(strategy)
     normalized = zscore(points)
-    with _kept(with_vector(normalized), partitions) as kept:
-        chosen = _choose(kept, strategy, iterations, ks)
+    with _kept(normalized) as kept:
+        chosen = _choose(kept, strategy, iterations, ks) if kept else None
     return (chosen[0] if chosen else min(ks)), normalized
 
 
-def assign_by_model(vectors: DataFrame, model: KMeansModel) -> DataFrame:
+def assign_by_model(points: DataFrame, model: Model) -> DataFrame:
     """Assigned points of a fitted model, each with the distance to its own center."""
-    every = _centers_by_k(vectors, {0: model})
-    assigned = model.transform(vectors).withColumn("features", vector_to_array("vector"))
-    distance = euclidean("features", F.col("centers")[0][F.col("cluster")]).alias("distance")
-    return assigned.withColumn("centers", every).select("cluster", distance, "id", "label", "features")
+    return _assigned(pack(points, SEED), model)
 
 
-def detect_kmeans(
-    normalized: DataFrame, k: int, iterations: int, top: int, partitions: int = FIT_PARTITIONS
-) -> DataFrame:
+def _assigned(packed: DataFrame, model: Model) -> DataFrame:
+    return assign(packed, [np.asarray(model)]).select(
+        F.get("clusters", F.lit(0)).alias("cluster"), F.get("distances", F.lit(0)).alias("distance"),
+        "id", "label", "features",
+    )
+
+
+def detect_kmeans(normalized: DataFrame, k: int, iterations: int, top: int) -> DataFrame:
     """Fit ``k`` clusters and return the ``top`` farthest points of each.
 
     Result: ``(cluster, distance, id, label, features)``, written once to the shared folder while
     the points are kept, so that they are not computed again.
     """
-    with _kept(with_vector(normalized), partitions) as kept:
-        if not kept.rows:
+    with _kept(normalized) as kept:
+        if not kept:
             return _none_found(normalized)
-        model = fit_kmeans(kept.to_fit, k, iterations)
-        return write_scratch(top_per_cluster(assign_by_model(kept.vectors, model), top))
+        model = fit(kept, [k], iterations, SEED)[k]
+        return write_scratch(top_per_cluster(_assigned(kept.points, model), top))
 
 
 def find_kmeans_outliers(
     points: DataFrame, strategy: str = "entropy", *, iterations: int, top: int,
-    ks: Sequence[int] = SWEEP_KS, partitions: int = FIT_PARTITIONS,
+    ks: Sequence[int] = SWEEP_KS,
 ) -> DataFrame:
     """Normalize, choose k, and return the ``top`` farthest points of each cluster.
 
@@ -200,11 +152,11 @@ def find_kmeans_outliers(
     own = not points.is_cached
     points = points.persist(StorageLevel.MEMORY_AND_DISK) if own else points
     try:
-        with _kept(with_vector(zscore(points)), partitions) as kept:
-            chosen = _choose(kept, strategy, iterations, ks)
-            if chosen is None:
+        with _kept(zscore(points)) as kept:
+            if not kept:
                 return _none_found(points)
-            return write_scratch(top_per_cluster(assign_by_model(kept.vectors, chosen[1]), top))
+            _, model = _choose(kept, strategy, iterations, ks)
+            return write_scratch(top_per_cluster(_assigned(kept.points, model), top))
     finally:
         if own:
             points.unpersist()

@@ -16,12 +16,11 @@ from strayline.operators.clusters import (
     top_per_cluster,
 )
 from strayline.operators.entropy import int_entropy, str_entropy
-from strayline.operators.vectors import assemble_points, feature_stats, with_vector, zscore
+from strayline.operators.vectors import assemble_points, feature_stats, zscore
 from strayline.plans.detect import detect_outliers
 from strayline.plans.kmeans import (
     SWEEP_KS,
     assign_by_model,
-    dealt,
     detect_kmeans,
     find_kmeans_outliers,
     fit_kmeans,
@@ -192,35 +191,12 @@ def q_best_k_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("k", rounded("score").alias("score"))
 
 
-def q_sweep_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep_k(zscore(embedding_points(spark, sf_dir)), "entropy", ITERATIONS)
-
-
-def q_sweep_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep_k(zscore(embedding_points(spark, sf_dir)), "distance", ITERATIONS)
-
-
-def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, normalized = prepare(embedding_points(spark, sf_dir), "entropy", ITERATIONS)
-    return normalized.select(F.lit(k).alias("k"), "id", "label", "features")
-
-
-def q_find_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_kmeans_outliers(
-        embedding_points(spark, sf_dir), "entropy", iterations=ITERATIONS, top=TOP
-    )
-
-
 def q_find_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_kmeans_outliers(
         embedding_points(spark, sf_dir), "distance", iterations=ITERATIONS, top=TOP
     )
 
 
-def q_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_kmeans(zscore(embedding_points(spark, sf_dir)), 10, ITERATIONS, TOP)
-
-
 def q_detect_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_outliers(
         lineitem_points(spark, sf_dir), "KMEANS",
@@ -244,6 +220,36 @@ def _far(found: DataFrame) -> DataFrame:
     return found.select("id", "label", rounded("distance").alias("distance"))
 
 
+def _sweep_separated(strategy: str):
+    """Scores at the true number of clusters, where the best clustering is known."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scores = sweep_k(zscore(separated_points(spark, sf_dir)), strategy, ITERATIONS, ks=(2, SEPARATE))
+        return scores.where(F.col("k") == SEPARATE).select("k", rounded("score").alias("score"))
+
+    return run
+
+
+def q_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen k, and every normalized feature with all of its digits but the last few."""
+    k, normalized = prepare(separated_points(spark, sf_dir), "entropy", ITERATIONS)
+    return normalized.select(F.lit(k).alias("k"), "id", "label", F.posexplode("features").alias("pos", "z")).withColumn(
+        "z", rounded("z")
+    )
+
+
+def q_find_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole sweep: from the true number of clusters on no cluster is mixed, and the least such
+    k is chosen."""
+    return _far(find_kmeans_outliers(separated_points(spark, sf_dir), "entropy", iterations=ITERATIONS, top=TOP))
+
+
+def q_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dispatch to the clustering detector."""
+    points = separated_points(spark, sf_dir)
+    return _far(detect_outliers(points, "KMEANS", strategy="distance", iterations=ITERATIONS, top=TOP, ks=(5, SEPARATE)))
+
+
 def q_detect_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _far(detect_kmeans(zscore(separated_points(spark, sf_dir)), SEPARATE, ITERATIONS, TOP))
 
@@ -266,15 +272,14 @@ def q_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     point left out is farther than one that is kept.
     """
     points = zscore(embedding_points(spark, sf_dir))
-    vectors = dealt(with_vector(points))
 
     def checked(k: int) -> DataFrame:
-        model = fit_kmeans(vectors.select("vector"), k, ITERATIONS)
-        assigned = assign_by_model(vectors, model)
+        model = fit_kmeans(points, k, ITERATIONS)
+        assigned = assign_by_model(points, model)
         kept = top_per_cluster(assigned, TOP).groupBy("cluster").agg(
             F.count("*").alias("kept"), F.min("distance").alias("least")
         )
-        least = assign_nearest(points, model_centers(model, vectors)).select("id", F.col("distance").alias("nearest"))
+        least = assign_nearest(points, model_centers(model, points)).select("id", F.col("distance").alias("nearest"))
         of_cluster = Window.partitionBy("cluster")
         beyond = F.count_if(F.col("distance") > F.col("least"))
         rows = assigned.join(least, "id").withColumn("size", F.count("*").over(of_cluster)).join(kept, "cluster")
@@ -316,8 +321,8 @@ QUERIES = {
     "top_per_cluster": q_top_per_cluster,
     "best_k_distance": q_best_k_distance,
     "best_k_entropy": q_best_k_entropy,
-    "kmeans_sweep_entropy": q_sweep_entropy,
-    "kmeans_sweep_distance": q_sweep_distance,
+    "kmeans_sweep_entropy": _sweep_separated("entropy"),
+    "kmeans_sweep_distance": _sweep_separated("distance"),
     "kmeans_prepare": q_prepare,
     "kmeans_find_entropy": q_find_entropy,
     "kmeans_find_distance": q_find_distance,
@@ -413,18 +418,30 @@ h as (select k, cluster, {_ENTROPY_SQL} as h from n group by k, cluster)
 select k, round(avg(h), 6) + 0.0 as score from h group by k order by avg(h), k limit 1""",
 }
 
-_SEPARATED = f"""with {EMBEDDING_SQL},
+_SEPARATED_Z = f"""with {EMBEDDING_SQL},
 m as (select id, label, cluster % {SEPARATE} as g, pos,
   x + case when (pos - 1) % {SEPARATE} = cluster % {SEPARATE} then 1000 else 0 end as x from e),
 s as (select pos, avg(x) as mean, stddev_pop(x) as sd from m group by pos),
 z as (select id, label, g, pos, (x - mean) / case when sd > 0 then sd else 1 end as z from m join s using (pos)),
 c as (select g, pos, avg(z) as c from z group by all),
-d as (select id, label, g, sqrt(sum((z - c) * (z - c))) as distance from z join c using (g, pos) group by all),
+d as (select id, label, g, sqrt(sum((z - c) * (z - c))) as distance from z join c using (g, pos) group by all)"""
+SEPARATED = f"""{_SEPARATED_Z},
 r as (select *, row_number() over (partition by g order by distance desc, id) as rn from d)
 select id, label, round(distance, 6) + 0.0 as distance from r where rn <= {TOP}"""
 ORACLE |= {
-    name: _SEPARATED
-    for name in ("kmeans_detect_separated", "kmeans_find_separated_entropy", "kmeans_find_separated_distance")
+    name: SEPARATED
+    for name in (
+        "kmeans_detect_separated", "kmeans_find_separated_entropy", "kmeans_find_separated_distance",
+        "kmeans_find_entropy", "kmeans_detect",
+    )
 }
+ORACLE["kmeans_prepare"] = f"""{_SEPARATED_Z}
+select {SEPARATE} as k, id, label, (pos - 1)::integer as pos, round(z, 6) + 0.0 as z from z"""
+ORACLE["kmeans_sweep_distance"] = f"""{_SEPARATED_Z}
+select {SEPARATE} as k, round(avg(distance), 6) + 0.0 as score from d"""
+ORACLE["kmeans_sweep_entropy"] = f"""{_SEPARATED_Z},
+n as (select g, label, count(*) as n, sum(count(*)) over (partition by g) as t from d group by g, label),
+h as (select g, {_ENTROPY_SQL} as h from n group by g)
+select {SEPARATE} as k, round(avg(h), 6) + 0.0 as score from h"""
 ORACLE["kmeans_invariants"] = """select unnest([5, 10]) as k, n as points, 0::bigint as not_nearest,
   0::bigint as wrong_kept, 0::bigint as left_out_farther from (select count(*) as n from embeddings)"""

@@ -68,14 +68,10 @@ def q_run_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _stored_cells(spark: SparkSession, sf_dir: str) -> str:
-    """The embeddings as a table of feature cells, tracked under the default column names."""
+def _stored_cells(spark: SparkSession, vectors: DataFrame) -> str:
+    """Points as a table of feature cells, tracked under the default column names."""
     path = f"{scratch_folder(spark)}/cells"
-    cells = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("row"),
-        F.col("label").cast("string").alias("label"),
-        F.posexplode(F.col("embedding").cast("array<double>")).alias("col", "value"),
-    )
+    cells = vectors.select(F.col("id").alias("row"), "label", F.posexplode("features").alias("col", "value"))
     create_store(spark, path, "row long, col long, label string, value double")
     append_records(cells, path)
     return path
@@ -83,20 +79,22 @@ def _stored_cells(spark: SparkSession, sf_dir: str) -> str:
 
 def q_load_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells stored, read as a source with the default field spec, and assembled."""
-    return load_points(spark, "FILE", path=_stored_cells(spark, sf_dir), format="tracked").select(
+    return load_points(spark, "FILE", path=_stored_cells(spark, embedding_points(spark, sf_dir)), format="tracked").select(
         "id", "label", F.posexplode("features").alias("pos", "val")
     )
 
 
 def q_run_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole run on the cells of the embeddings, with the stored parameters beside the result."""
+    """A whole run on the cells of points whose best clustering is known, with a stored parameter
+    beside the result; all of the sweep that is not below the true number of clusters agrees."""
     store = scratch_folder(spark)
+    path = _stored_cells(spark, points.separated_points(spark, sf_dir))
     found = run_detection(
-        spark, store, RUN, "KMEANS", "FILE", {"path": _stored_cells(spark, sf_dir)},
-        top=3, iterations=10, strategy="distance",
+        spark, store, RUN, "KMEANS", "FILE", {"path": path, "format": "tracked"},
+        top=points.TOP, iterations=points.ITERATIONS, strategy="entropy",
     )
     top = read_params(spark, store, RUN).where("name = 'top'").select("value").scalar()
-    return found.withColumn("top", top.cast("int"))
+    return found.select("uid", "id", "label", rounded("distance").alias("distance"), top.cast("int").alias("top"))
 
 
 def q_registered_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +165,7 @@ r as (select *, row_number() over (partition by cluster order by distance desc,
 select '{RUN}' as uid, cluster, id, label, round(distance, 6) + 0.0 as distance
 from r where rn <= 3""",
     "load_points": points.ORACLE["assemble_points_embeddings"],
+    "kmeans_run_stored": f"select '{RUN}' as uid, *, {points.TOP} as top from ({points.SEPARATED})",
     "run_markov_stored": f"""with {_BY_PRIORITY}, {states.matrix_sql(ORDER_STATES, 100)},
 {states.scored_sql("missrate")}, f as ({states.flags_select(0.5)})
 select '{RUN}' as uid, site, "user", metric, flag, flag as again from f""",

@@ -1,16 +1,20 @@
 import math
 import random
 from collections import defaultdict
+from fractions import Fraction
+
+import numpy as np
 
 import pytest
 from conftest import points_frame
 
 from strayline.operators.clusters import assign_nearest, cluster_distance, cluster_entropy
-from strayline.operators.vectors import with_vector, zscore
+from strayline.operators import lloyd
+from strayline.operators.vectors import feature_stats, zscore
 from strayline.plans import kmeans
 from strayline.plans.detect import detect_outliers
 from strayline.plans.kmeans import (
-    assign_by_model, dealt, detect_kmeans, find_kmeans_outliers, fit_kmeans, model_centers, prepare,
+    assign_by_model, detect_kmeans, find_kmeans_outliers, fit_kmeans, model_centers, prepare,
     score_models, sweep_k,
 )
 
@@ -35,10 +39,9 @@ def test_detect_finds_the_far_points(blobs):
 
 def test_invariants_of_a_fit(blobs):
     normalized = zscore(blobs)
-    vectors = with_vector(normalized)
-    model = fit_kmeans(dealt(vectors), 6, 10)
-    assigned = assign_by_model(vectors, model).collect()
-    centers = [list(map(float, c)) for c in model.clusterCenters()]
+    model = fit_kmeans(normalized, 6, 10)
+    assigned = assign_by_model(normalized, model).collect()
+    centers = model.tolist()
     assert len(assigned) == 123
     for r in assigned:
         distances = [math.dist(r["features"], c) for c in centers]
@@ -61,12 +64,11 @@ def test_same_seed_same_result(blobs):
 
 def test_scores_of_many_models_equal_those_of_each(spark, blobs):
     normalized = zscore(blobs)
-    vectors = with_vector(normalized)
-    models = {k: fit_kmeans(vectors, k, 5) for k in (2, 4)}
+    models = {k: fit_kmeans(normalized, k, 5) for k in (2, 4)}
     for strategy, alone in (("entropy", cluster_entropy), ("distance", cluster_distance)):
-        scores = {r["k"]: r["score"] for r in score_models(vectors, models, strategy).collect()}
+        scores = {r["k"]: r["score"] for r in score_models(normalized, models, strategy).collect()}
         for k, model in models.items():
-            one = alone(assign_nearest(normalized, model_centers(model, vectors))).first()["score"]
+            one = alone(assign_nearest(normalized, model_centers(model, normalized))).first()["score"]
             assert math.isclose(scores[k], one, rel_tol=1e-9, abs_tol=1e-12)
 
 
@@ -80,6 +82,66 @@ def test_sweep_and_find_agree(blobs):
     assert found.select("cluster").distinct().count() == k
 
 
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Points of which many share an id or are equal, with values of very different size."""
+    rng = random.Random(12)
+    rows = [(i % 90, "ab"[i % 2], [rng.gauss(0, 1) * 10 ** (i % 5), float(rng.randint(0, 3)), 1e9 + rng.random()]) for i in range(400)]
+    return rows + rows[:40]
+
+
+def test_layout_changes_no_bit(spark, repeated):
+    """Order, files and partitions of the points: the same statistics, z-scores, scores and outliers."""
+    def results(rows, partitions):
+        points = points_frame(spark, rows).repartition(partitions)
+        found = find_kmeans_outliers(points, "distance", iterations=6, top=3, ks=(3, 7))
+        return [rows_of(x) for x in (feature_stats(points), zscore(points), sweep_k(points, "entropy", 4, ks=(2, 5)), found)]
+
+    first = results(repeated, 1)
+    random.Random(13).shuffle(repeated)
+    assert results(repeated, 3) == first
+    assert results(repeated[::-1], 7) == first
+
+
+def test_statistics_are_exact(spark):
+    rng = random.Random(14)
+    column = [rng.choice([1e16, -1e16, 1.0, 0.1, 3e-9]) * rng.random() for _ in range(500)]
+    points = points_frame(spark, [(i, "a", [x, 5.0]) for i, x in enumerate(column)])
+    got = {r["pos"]: r for r in feature_stats(points.repartition(4)).collect()}
+    exact = [Fraction(x) for x in column]
+    mean = sum(exact) / 500
+    assert (got[0]["total"], got[0]["mean"]) == (math.fsum(column), float(mean))
+    assert got[0]["stdev"] == math.sqrt(sum((x - mean) ** 2 for x in exact) / 500)
+    assert (got[1]["n"], got[1]["mean"], got[1]["stdev"]) == (500, 5.0, 0.0)
+    odd = feature_stats(points_frame(spark, [(1, "a", [math.inf, 1.0]), (2, "a", [0.0, 2.0])])).collect()
+    assert math.isnan(odd[0]["mean"]) != math.isnan(odd[1]["mean"])
+
+
+def test_a_round_moves_centers_to_the_means(spark, repeated):
+    points = points_frame(spark, repeated)
+    packed = lloyd.measure(lloyd.pack(points, 42))
+    assert (packed.n, packed.dim) == (440, 3)
+    candidates, weights = lloyd._candidates(packed, 6)
+    assert weights.sum() == 440 and len(np.unique(candidates, axis=0)) == len(candidates)
+    models = {k: lloyd._seeds(candidates, weights, k, 42) for k in (2, 6)}
+    x = np.array([r[2] for r in repeated])
+    for k, after in lloyd._moved(packed, models).items():
+        own = np.argmin(((x[:, None] - models[k]) ** 2).sum(axis=2), axis=1)
+        for c in range(len(after)):
+            expected = x[own == c].mean(axis=0) if (own == c).any() else models[k][c]
+            assert after[c] == pytest.approx(expected, rel=1e-12, abs=1e-6)  # the grid is that of 1e9
+
+
+def test_close_centers_are_told_apart():
+    x = np.array([[1e8, 0.0], [1e8 + 1, 0.0], [0.5, 1e8]])
+    centers = np.array([[1e8 + 0.4, 0.0], [1e8 + 0.6, 0.0], [0.0, 1e8], [1.0, 1e8]])
+    assert lloyd.nearest(x, centers).tolist() == [0, 1, 2]  # the last is a tie
+
+
 def test_nothing_stays_cached(spark, blobs):
     find_kmeans_outliers(blobs, "distance", iterations=2, top=1, ks=(2, 3)).collect()
     assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

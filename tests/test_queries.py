@@ -32,7 +32,8 @@ def test_query(spark, duck, name):
     assert rows
     sql = spark_entry.oracle_sql().get(name)
     if sql is None:
-        assert name.startswith(("kmeans_", "op", "pipeline"))  # tested by brute force
+        # fits of general data and learned or hashed figures: tested by brute force and invariants
+        assert name.startswith(("op", "pipeline")) or name in ("kmeans_find_distance", "kmeans_detect_lineitem")
         return
     result = duck.sql(sql)
     at = [result.columns.index(c) for c in columns]
