@@ -6,31 +6,47 @@ An *assigned point* is ``(cluster INT, distance DOUBLE, id LONG, label STRING, f
 
 from __future__ import annotations
 
-from math import ceil
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from strayline.functions import euclidean
 from strayline.operators.entropy import str_entropy
+from strayline.operators.rings import RING_CENTERS, make_rings, with_rings
 
 # Largest center table (in doubles) that is handed whole to every task: 8 MB.
 LOCAL_CENTER_VALUES = 1_000_000
 
+# Features up to which a distance is written out term by term.
+UNROLLED = 64
+
 _ASSIGNED = ["cluster", "distance", "id", "label", "features"]
 _CENTERS = "cluster int, center array<double>"
 
 
-def _nearest(features: str, centers: str) -> Column:
+def _distance(features: str, center: Column, d: int) -> Column:
+    """`euclidean` of vectors of ``d`` features, written out where that is short: it is evaluated for
+    every center of a point, and nested functions cost much more than the terms."""
+    if not 0 < d <= UNROLLED:
+        return euclidean(features, center)
+    gaps = [F.get(features, F.lit(i)) - F.get(center, F.lit(i)) for i in range(d)]
+    return F.sqrt(reduce(lambda total, gap: total + gap * gap, gaps, F.lit(0.0)))
+
+
+def _nearest(features: str, centers: str, d: int) -> Column:
     """Struct ``(distance, cluster)`` of the nearest center; equal distances: lowest cluster."""
-    return F.array_min(
+    unequal = F.raise_error(F.lit("vectors of unequal length")).cast("struct<distance:double,cluster:int>")
+    odd = (F.size(features) != d) | F.exists(centers, lambda c: F.size(c["center"]) != d)
+    best = F.array_min(
         F.transform(
             centers,
             lambda c: F.struct(
-                euclidean(features, c["center"]).alias("distance"),
+                _distance(features, c["center"], d).alias("distance"),
                 c["cluster"].alias("cluster"),
             ),
         )
     )
+    return F.when(odd, unequal).otherwise(best)
 
 
 def _typed(centers: DataFrame) -> DataFrame:
@@ -61,48 +77,40 @@ def assign_nearest(
     """Give each point its nearest center and the distance to it.
 
     Up to ``local_values`` doubles, the centers are one array value next to the points, which are
-    neither joined nor shuffled. A larger table is cut into blocks: each point meets each block
-    once, keeps the block's best center, and the least of those is the answer.
+    neither joined nor shuffled. A larger table is cut into rings around anchors: each point meets the
+    rings that can hold its nearest center, and the least of their best centers is the answer.
     """
     centers, n, d = _measured(_typed(centers), local_values)
     if n * d > local_values:
-        return _assign_by_blocks(points, centers, ceil(n / max(1, local_values // d)))
+        return _assign_by_rings(points, centers, n, d, local_values)
 
     every = centers.agg(F.collect_list(F.struct("cluster", "center"))).scalar()
     return (
         points.withColumn("_centers", every)
-        .withColumn("_best", _nearest("features", "_centers"))
+        .withColumn("_best", _nearest("features", "_centers", d))
         .select("_best.cluster", "_best.distance", "id", "label", "features")
     )
 
 
-def _assign_by_blocks(points: DataFrame, centers: DataFrame, blocks: int) -> DataFrame:
-    """Nearest center over blocks of centers; salted, as there are far fewer blocks than tasks.
+def _assign_by_rings(points: DataFrame, centers: DataFrame, n: int, d: int, local_values: int) -> DataFrame:
+    """Nearest center over the rings that a point meets.
 
-    The blocks' answers meet again by the content of the point. Points that are equal in every
-    column share that group and are counted, so each of them is in the result.
+    The rings' answers meet again by the content of the point. Points that are equal in every
+    column share that group and meet the same rings, so they are counted, and each of them is in
+    the result. A ring that many points meet is a key of a join, whose points Spark splits.
     """
-    salts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = (
-        centers.withColumn("block", F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("cluster", "center")).alias("_centers"))
-    )
-    used = table.agg(F.count(F.lit(1))).scalar()
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rings = make_rings(centers, n, d, local_values, max(1, min(RING_CENTERS, local_values // d)))
     met = (
-        points.withColumn("salt", F.pmod(F.xxhash64("id", "features"), F.lit(salts)).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .join(salted, ["block", "salt"])
-        .withColumn("_best", _nearest("features", "_centers"))
+        with_rings(points, rings)
+        .select("id", "label", "features", F.size("rings").alias("_rings"), F.explode("rings").alias("ring"))
+        .join(rings.table, "ring")
+        .withColumn("_best", _nearest("features", "centers", d))
     )
     grouped = met.groupBy("id", "label", "features").agg(
-        F.min("_best").alias("_best"), F.count(F.lit(1)).alias("_met")
+        F.min("_best").alias("_best"), F.floor(F.count(F.lit(1)) / F.max("_rings")).alias("_copies")
     )
-    copies = F.sequence(F.lit(1), F.floor(F.col("_met") / F.col("_used")))
     return (
-        grouped.withColumn("_used", used)
-        .withColumn("_copy", F.explode(copies))
+        grouped.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select("_best.cluster", "_best.distance", "id", "label", "features")
     )
 

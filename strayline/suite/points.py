@@ -146,6 +146,21 @@ def q_assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_assign_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line's nearest part by size and price: a center table that no task holds whole."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_returnflag").alias("label"),
+        F.array("l_quantity", F.col("l_extendedprice") / F.col("l_quantity")).alias("features"),
+    )
+    parts = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("cluster"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("center")
+    )
+    return assign_nearest(lines, parts, local_values=2000).select(
+        "id", "label", "cluster", rounded("distance").alias("distance")
+    )
+
+
 def q_center_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of every embedding to the mean of its own label."""
     points = embedding_points(spark, sf_dir)
@@ -315,6 +330,7 @@ QUERIES = {
     "int_entropy_lineitem": q_int_entropy_lineitem,
     "euclidean": q_euclidean,
     "assign_nearest": q_assign_nearest,
+    "assign_nearest_many": q_assign_many,
     "center_distance": q_center_distance,
     "cluster_entropy": q_cluster_entropy,
     "cluster_distance": q_cluster_distance,
@@ -394,6 +410,14 @@ select id, round(sqrt(sum((x - m) * (x - m))), 6) + 0.0 as distance
 from e join m on m.pos = e.pos group by id""",
     "assign_nearest": f"""with {ASSIGNED_SQL}
 select id, label, cluster, round(distance, 6) + 0.0 as distance from a""",
+    "assign_nearest_many": """with p as (select l_orderkey, l_returnflag, l_quantity as x,
+  l_extendedprice / l_quantity as y, count(*) as copies from lineitem group by all),
+d as (select p.*, arg_min(p_partkey, struct_pack(a := sqrt((x - p_size) * (x - p_size)
+    + (y - p_retailprice) * (y - p_retailprice)), b := p_partkey)) as cluster,
+  min(sqrt((x - p_size) * (x - p_size) + (y - p_retailprice) * (y - p_retailprice))) as distance
+  from p cross join part group by all)
+select l_orderkey as id, l_returnflag as label, cluster::int as cluster, round(distance, 6) + 0.0 as distance
+from (select *, unnest(range(copies)) from d)""",
     "center_distance": f"""with {EMBEDDING_SQL},
 c as (select cluster, pos, avg(x) as c from e group by all)
 select id, e.cluster, round(sqrt(sum((x - c) * (x - c))), 6) + 0.0 as distance

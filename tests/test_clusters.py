@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from conftest import points_frame
 
@@ -9,6 +10,8 @@ from strayline.operators.clusters import (
     top_per_cluster,
 )
 
+from strayline.operators.rings import make_rings, with_rings
+
 
 def random_points(n, dim=3, seed=1):
     rng = random.Random(seed)
@@ -21,7 +24,7 @@ def brute_nearest(features, centers):
 
 @pytest.mark.parametrize("local_values", [1_000_000, 6])
 def test_assign_nearest_equals_brute_force(spark, local_values):
-    """Both ways: centers as one value, and in blocks of two."""
+    """Both ways: centers as one value, and in rings of two."""
     points, centers = random_points(60), [(i, c) for i, _, c in random_points(9, seed=2)]
     got = assign_nearest(points_frame(spark, points), centers_frame(spark, centers), local_values).collect()
     assert len(got) == 60
@@ -32,12 +35,32 @@ def test_assign_nearest_equals_brute_force(spark, local_values):
         assert (r["label"], r["features"]) == by_id[r["id"]][1:]
 
 
-def test_blocks_keep_points_of_equal_id(spark):
+def test_rings_keep_points_of_equal_id(spark):
     points = [(1, "a", [0.0]), (1, "a", [9.0]), (1, "a", [0.0])]
     got = assign_nearest(points_frame(spark, points), centers_frame(spark, [(0, [1.0]), (1, [8.0])]), 1)
     assert sorted((r["cluster"], r["distance"]) for r in got.collect()) == [(0, 1.0), (0, 1.0), (1, 1.0)]
 
 
+def test_twenty_thousand_centers(spark):
+    """Equal to brute force, and a point meets few of the rings."""
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20_000, 4)) + rng.integers(0, 30, size=(20_000, 1)) * 10
+    centers[500:540] = centers[499]  # equal centers: the lowest cluster counts
+    x = np.concatenate([rng.normal(size=(150, 4)) + rng.integers(0, 30, size=(150, 1)) * 10, centers[480:520], rng.normal(size=(10, 4)) * 1000])
+    frame = centers_frame(spark, list(enumerate(centers.tolist()))).repartition(4)
+    points = points_frame(spark, [(i, "a", v) for i, v in enumerate(x.tolist())])
+    got = {r["id"]: r for r in assign_nearest(points, frame, 2_000).collect()}
+    assert len(got) == 200
+    for i, v in enumerate(x):
+        distances = np.sqrt(((centers - v) ** 2).sum(axis=1))
+        assert math.isclose(got[i]["distance"], distances.min(), abs_tol=1e-9)
+        assert got[i]["cluster"] == np.flatnonzero(distances <= distances.min() + 1e-12)[0]
+    rings = make_rings(frame, 20_000, 4, 2_000, 256)
+    met = np.mean([len(r["rings"]) for r in with_rings(points, rings).collect()])
+    assert rings.table.count() > 300 and met < 0.1 * rings.table.count()
+    assert rings.table.selectExpr("max(size(centers)) as n").first()["n"] < 400
+
+
 @pytest.mark.parametrize("local_values", [1_000_000, 1])
 def test_equal_distances_take_the_lowest_cluster(spark, local_values):
     got = assign_nearest(
