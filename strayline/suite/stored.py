@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strayline.operators.clusters import assign_nearest, top_per_cluster
-from strayline.operators.markov import sequence_metrics
+from strayline.operators.markov import sequence_metrics, transition_matrix
+from strayline.operators.matrix_lines import read_matrix_lines, write_matrix_lines
 from strayline.operators.sparse import dense, sparse_matrix
 from strayline.operators.support import add_support, store_support, stored_matrix, train_support
 from strayline.plans.detect import run_detection
@@ -145,7 +146,15 @@ def q_support_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("metric", rounded("metric"))
 
 
+def q_matrix_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the events written as lines of text and read again."""
+    path = f"{scratch_folder(spark)}/matrix"
+    write_matrix_lines(transition_matrix(states.event_states(spark, sf_dir), states.WITH_REFUND), path)
+    return read_matrix_lines(spark, path, states.WITH_REFUND).withColumn("p", rounded("p"))
+
+
 QUERIES = {
+    "matrix_lines_roundtrip": q_matrix_lines,
     "support_added": q_support_added,
     "support_stored": q_support_stored,
     "results_roundtrip_points": q_results_points,
@@ -175,4 +184,5 @@ select '{RUN}' as uid, site, "user", metric, flag, flag as again from f""",
     "support_stored": f"""with {_WHOLE}, {states.matrix_sql(states.EVENT_STATES, 100, "1")},
 st as (select st1.* from st1, (select min(t) + (max(t) - min(t)) / 2 as middle from st1) where t > middle),
 {states.scored_sql("missprob", "1")} select site, usr as "user", round(metric, 6) + 0.0 as metric from sc""",
+    "matrix_lines_roundtrip": f"select src, dst, src_idx, dst_idx, p from ({states.ORACLE['transition_matrix_laplace']})",
 }
