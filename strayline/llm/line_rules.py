@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from strayline.llm.common import WORD, let
@@ -14,27 +17,37 @@ WINDOW = 3
 
 # Phrases of lines that belong to a site and not to its text.
 BOILERPLATE = (
-    "all rights reserved|cookie policy|accept cookies|we use cookies|privacy policy|terms of use|"
-    "terms of service|enable javascript|subscribe to our|sign up for|click here|lorem ipsum|"
-    "released under the|licensed under the|copyright \\(c\\)"
+    "all rights reserved", "cookie policy", "accept cookies", "we use cookies", "privacy policy",
+    "terms of use", "terms of service", "enable javascript", "subscribe to our", "sign up for",
+    "click here", "lorem ipsum", "released under the", "licensed under the", "copyright (c)",
 )
+_BOILERPLATE = "(?i)" + "|".join(re.escape(phrase) for phrase in BOILERPLATE)
+
+
+def has_boilerplate(text: Column) -> Column:
+    """Whether some line of a text may have a boilerplate phrase: a quick look at the whole of it."""
+    lower = F.lower(text)
+    return reduce(Column.__or__, [F.contains(lower, F.lit(phrase)) for phrase in BOILERPLATE])
 
 
-def failed_line(line: Column) -> Column:
+def failed_line(line: Column, may_have_boilerplate: Column) -> Column:
     """Whether a line that has a word fails a rule: symbols (one for every five words or more),
     shouting (all capitals), navigation (two or more separators, more than one for five words),
-    boilerplate phrases, or a few words without an end of a sentence."""
-    words = F.regexp_count(line, F.lit(WORD))
-    symbols = F.regexp_count(line, F.lit(SYMBOL))
-    separators = F.regexp_count(line, F.lit(r"[|»›·•]|\s(?:>|/|::)\s"))
-    is_ended = line.rlike(r"[.!?…:;,。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$")
-    return (
-        (symbols * 5 >= words)
-        | ((F.upper(line) == line) & (F.lower(line) != line) & (words > 1))
-        | ((separators >= 2) & (separators * 5 > words))
-        | line.rlike(f"(?i){BOILERPLATE}")
-        | ((words < 5) & ~is_ended)
-    )
+    boilerplate phrases, or a few words without an end of a sentence. A line without words fails none."""
+
+    def of(words: Column) -> Column:
+        symbols = F.regexp_count(line, F.lit(SYMBOL))
+        separators = F.regexp_count(line, F.lit(r"[|»›·•]|\s(?:>|/|::)\s"))
+        is_ended = line.rlike(r"[.!?…:;,。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$")
+        return (words > 0) & (
+            (symbols * 5 >= words)
+            | ((F.upper(line) == line) & (F.lower(line) != line) & (words > 1))
+            | (let(separators, lambda n: (n >= 2) & (n * 5 > words)))
+            | (may_have_boilerplate & line.rlike(_BOILERPLATE))
+            | ((words < 5) & ~is_ended)
+        )
+
+    return let(F.regexp_count(line, F.lit(WORD)), of)
 
 
 def _repeated_words(words: Column) -> Column:
@@ -43,7 +56,7 @@ def _repeated_words(words: Column) -> Column:
 
     def covered(hashes: Column) -> Column:
         """From a window's hash and place in order, the places of equal neighbours, in order again."""
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def repeated(s: Column) -> Column:
             def same(k: Column, h: Column) -> Column:
@@ -52,7 +65,7 @@ def _repeated_words(words: Column) -> Column:
             flagged = F.transform(
                 s, lambda e, k: F.struct(e["i"].alias("i"), (same(k - 1, e["h"]) | same(k + 1, e["h"])).alias("r"))
             )
-            return F.array_sort(F.transform(F.filter(flagged, lambda e: e["r"]), lambda e: e["i"]))
+            return F.sort_array(F.transform(F.filter(flagged, lambda e: e["r"]), lambda e: e["i"]))
 
         def count(places: Column) -> Column:
             steps = F.transform(
@@ -82,17 +95,16 @@ def clean_lines(docs: DataFrame) -> DataFrame:
     compared by 64-bit hashes within one text. Other columns are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"))
+    rows = docs.select("doc_id", text.alias("text"), has_boilerplate(text).alias("boilerplate"))
     rows = rows.select(
         "*",
         F.regexp_extract_all("text", F.lit(f"({WORD})"), 1).alias("words"),
         F.split("text", "\n").alias("lines"),
     )
-    has_word = lambda line: line.rlike(WORD)
     rows = rows.select(
         "*",
-        F.filter("lines", has_word).alias("worded"),
-        F.array_join(F.filter("lines", lambda x: ~has_word(x) | ~failed_line(x)), "\n").alias("clean_text"),
+        F.filter("lines", lambda x: x.rlike(WORD)).alias("worded"),
+        F.array_join(F.filter("lines", lambda x: ~failed_line(x, F.col("boilerplate"))), "\n").alias("clean_text"),
     )
     rows = rows.select(
         "doc_id",
