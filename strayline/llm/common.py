@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +27,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As `cut`, by a table of compressed columns, whose size Spark knows when it plans what follows."""
+    path = f"{shared_folder(df.sparkSession)}/strayline-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, also where a lambda in ``body`` refers to it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
