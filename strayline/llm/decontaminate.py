@@ -101,12 +101,12 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _item_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         out = []
-        for item in frame["item"]:
+        for key, item in zip(frame["key"], frame["item"]):
             words = np.asarray(item, dtype=np.int64)
             for mask in SEEDS if len(words) >= SPAN else ["1" * len(words)]:
                 h = window_hashes(words.view(np.uint64), mask).view(np.int64)
-                out.append(pd.DataFrame({"hash": h, "item_at": np.arange(len(h)), "item": [item] * len(h)}))
-        yield pd.concat(out) if out else pd.DataFrame({"hash": [], "item_at": [], "item": []})
+                out.append(pd.DataFrame({"hash": h, "item_at": np.arange(len(h)), "key": key}))
+        yield pd.concat(out) if out else pd.DataFrame({"hash": [], "item_at": [], "key": []})
 
 
 def _regions(masks: list[str], bitmap: np.ndarray):
@@ -202,7 +202,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         _item_words, f"item_id {item_type}, item array<long>"
     )
     items = cut(items.where(F.size("item") >= SHORTEST))
-    windows = cut(items.select("item").distinct().mapInPandas(_item_windows, "hash long, item_at long, item array<long>"))
+    # a window names its item by a hash; the words are joined where a meeting is verified
+    by_key = items.select("item").distinct().select(F.xxhash64("item").alias("key"), "item")
+    windows = cut(by_key.mapInPandas(_item_windows, "hash long, item_at long, key long"))
     places = F.array(
         F.shiftrightunsigned("hash", 64 - _BITMAP_BITS), F.col("hash").bitwiseAND(F.lit((1 << _BITMAP_BITS) - 1))
     )
@@ -225,10 +227,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     regions = cut(regions.withColumn("region", F.xxhash64("doc_id", "start", "words")))
     hits = regions.select("region", F.explode("hits").alias("hit"))
     meetings = hits.join(windows, F.col("hit.hash") == F.col("hash")).select(
-        "region", "item", (F.col("hit.at") - F.col("item_at")).alias("shift")
+        "region", "key", (F.col("hit.at") - F.col("item_at")).alias("shift")
     )
     meetings = meetings.distinct()
-    found = regions.select("region", "doc_id", "start", "words").dropDuplicates(["region"]).join(meetings, "region")
+    found = regions.select("region", "doc_id", "start", "words").dropDuplicates(["region"]).join(meetings, "region").join(by_key, "key")
     measured = F.pandas_udf(_overlap, "struct<agree:int,length:int,at:int>")
     found = found.select("doc_id", "start", "shift", "item", measured("words", "item", "shift").alias("o"))
     need = F.least(F.lit(OVERLAP), F.size("item"))
@@ -244,7 +246,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a benchmark passage, with all columns; a null ``doc_id`` goes if any
-    document without an id has one."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` whose own text has no benchmark passage, with all columns.
+
+    Rows are told by ``doc_id`` and text, so that a null or repeated ``doc_id`` decides nothing about
+    other texts. Null and empty texts stay; an empty table stays empty, and an empty benchmark drops
+    nothing; columns may have any names.
+    """
+    own = F.struct("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
+    bad = overlaps(docs.select(own.alias("doc_id"), "text"), benchmark)
+    bad = bad.select(*[F.col(f"doc_id.{c}").alias(f"__bad_{c}") for c in ("doc_id", "h", "g")]).distinct()
+    of_text = (F.xxhash64(docs["text"]) == bad["__bad_h"]) & (F.hash(docs["text"]) == bad["__bad_g"])
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad_doc_id"]) & of_text, "left_anti")

@@ -64,7 +64,8 @@ def _read(tag: str, attributes: str) -> tuple[bool, str]:
     return bool(
         found.get("role", "").lower() in _OTHER_ROLES
         or found.get("aria-hidden", "").lower() == "true"
-        or re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)
+        or "hidden" in found
+        or re.search(r"(?:^|\s)hidden(?:[\s/]|$)", _ATTRIBUTE.sub(" ", attributes), re.I)
         or _HIDDEN.search(found.get("style", ""))
     ), names
 
@@ -81,8 +82,8 @@ def _blocks(page: str) -> list[tuple[_Node, str]]:
     holds most of the page's text outside links; comments may hold most and go nevertheless.
     """
     root = _Node("", None, False)
-    stack, blocks, text, in_link = [root], [], [], False
-    linked = 0
+    stack, blocks, text = [root], [], []
+    linked, link_level = 0, 0  # a link counts until it ends or the element around it does
 
     def count(node: _Node | None, words: str, level: int, sign: int) -> None:
         while node:
@@ -103,13 +104,16 @@ def _blocks(page: str) -> list[tuple[_Node, str]]:
         nonlocal linked
         part = html.unescape(part)
         text.append(part)
-        if in_link:
+        if link_level:
             linked += len(part)
 
     def close(tags: set[str], stop: set[str]) -> None:
+        nonlocal link_level
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in tags:
                 del stack[k:]
+                if len(stack) < link_level:
+                    link_level = 0
                 return
             if stack[k].tag in stop:
                 return
@@ -122,7 +126,8 @@ def _blocks(page: str) -> list[tuple[_Node, str]]:
             continue
         tag, closing = match[2].lower(), bool(match[1])
         if tag == "a":
-            in_link = not closing
+            is_link = not closing and any(name.lower() == "href" for name, *_ in _ATTRIBUTE.findall(match[3]))
+            link_level = len(stack) if is_link else 0
         elif tag == "br":
             text.append(" ")
         elif tag in _RAW:

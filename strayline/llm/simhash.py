@@ -150,22 +150,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told by ``doc_id`` and text, so that a group decides on its own rows only. The row of
     the least ``(doc_id, fingerprint)`` stays, one without ``doc_id`` only if its group has no
-    other; of rows equal in ``doc_id`` and text any one stays.
+    other; of rows equal in ``doc_id`` and text any one stays. A null or wordless text has fingerprint
+    0, so of all such rows one stays. An empty table stays empty; columns may have any names.
     """
     prints = cut(fingerprints(docs))
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp", "h", "g")
     least = prints.groupBy("fp").agg(F.min(own).alias("least"))
     kept = _rooted(prints).join(least, "fp").groupBy("root").agg(F.min("least").alias("k"))
-    kept = cut(kept.select(*[F.col(f"k.{c}").alias(f"_{c}") for c in ("doc_id", "h", "g")]))
+    kept = cut(kept.select(*[F.col(f"k.{c}").alias(f"__kept_{c}") for c in ("doc_id", "h", "g")]))
+    h, g = _text_key()
+    rows = docs.select("*", h.alias("__sim_h"), g.alias("__sim_g"))
 
-    def same(left: DataFrame, right: DataFrame) -> Column:
-        return left["doc_id"].eqNullSafe(right["_doc_id"]) & (left["h"] == right["_h"]) & (left["g"] == right["_g"])
+    def same(right: DataFrame, prefix: str) -> Column:
+        of_text = (rows["__sim_h"] == right[f"{prefix}h"]) & (rows["__sim_g"] == right[f"{prefix}g"])
+        return rows["doc_id"].eqNullSafe(right[f"{prefix}doc_id"]) & of_text
 
     # rows that are equal to a kept one in id and text: few, so only those meet to leave one
     twice = prints.groupBy("doc_id", "h", "g").count().where("count > 1")
-    twice = cut(twice.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "g")]))
-    rows = docs.select("*", *_text_key())
-    rows = rows.join(kept, same(rows, kept), "left_semi")
-    once = rows.join(twice, same(rows, twice), "left_anti")
-    again = rows.join(twice, same(rows, twice), "left_semi").dropDuplicates(["doc_id", "h", "g"])
+    twice = cut(twice.select(*[F.col(c).alias(f"__twice_{c}") for c in ("doc_id", "h", "g")]))
+    rows = rows.join(kept, same(kept, "__kept_"), "left_semi")
+    once = rows.join(twice, same(twice, "__twice_"), "left_anti")
+    again = rows.join(twice, same(twice, "__twice_"), "left_semi").dropDuplicates(["doc_id", "__sim_h", "__sim_g"])
     return once.union(again).select(docs.columns)

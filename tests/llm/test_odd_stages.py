@@ -1,0 +1,63 @@
+"""Stages and pages that once lost rows or failed: clashing names, rows without id, odd attributes."""
+
+import random
+
+import pytest
+from test_operators import make, no_docs, odd, sentence  # noqa: F401
+
+from strayline.llm.decontaminate import drop_contaminated
+from strayline.llm.html_main import main_text
+from strayline.llm.mixing import mix
+from strayline.llm.simhash import keep_one
+
+
+def test_keep_one_with_any_names(make, no_docs):  # noqa: F811
+    rng = random.Random(1)
+    text = " ".join(sentence(rng) for _ in range(6))
+    docs = make({1: text, 2: text, 3: " ".join(sentence(rng) for _ in range(6))})
+    for old, new in (("lang", "h"), ("label", "g"), ("words", "_doc_id"), ("row", "_h"), ("_id", "fp")):
+        docs = docs.withColumnRenamed(old, new)
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert keep_one(no_docs).collect() == []
+
+
+def test_contamination_is_decided_by_row(spark, make, odd, no_docs):  # noqa: F811
+    rng = random.Random(2)
+    item = " ".join(sentence(rng) for _ in range(4))
+    bad, clean = f"Before it. {item} After it.", " ".join(sentence(rng) for _ in range(5))
+    benchmark = spark.createDataFrame([(7, item), (8, item), (9, None)], "item_id long, text string")
+    rows = [(None, bad, "s"), (None, clean, "s"), (5, bad, "s"), (5, clean, "s"), (5, clean, "s"), (6, bad, "s"), (None, None, "s")]
+    docs = make(rows).withColumnRenamed("lang", "h").withColumnRenamed("label", "__bad")
+    left = drop_contaminated(docs, benchmark)
+    assert left.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in left.collect()) == sorted(str(r) for r in [(None, clean), (5, clean), (5, clean), (None, None)])
+    assert drop_contaminated(odd, benchmark).count() == odd.count()
+    assert drop_contaminated(odd, benchmark.limit(0)).count() == odd.count()
+    assert drop_contaminated(no_docs, benchmark).collect() == []
+
+
+def test_mix_of_odd_rows(odd, no_docs):  # noqa: F811
+    rows = mix(odd).collect()
+    assert len(rows) == odd.count()
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in rows)
+    assert {r["size"] for r in rows if r["doc_id"] in (1, 2, 3)} == {0}
+    assert mix(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    '<body><a name="top"><article>{}</article></body>',
+    '<body><div class="menu"><a href="/x">Home</div><article>{}</article></body>',
+    '<body><article title="The hidden valley">{}</article></body>',
+    '<body><div class="post hidden sm">{}</div></body>',
+    '<body><main data-t="a hidden gem">{}</main></body>',
+])
+def test_articles_that_were_lost(page):
+    prose = "It was a long and quiet day, and nobody, not even the dog, went out before the evening came. " * 4
+    assert main_text(page.format(f"<p>{prose}</p><p>{prose}</p>")) == "\n".join([prose.strip()] * 2)
+
+
+def test_hidden_parts_go():
+    prose = "It was a long and quiet day, and nobody, not even the dog, went out before the evening came. " * 4
+    for hidden in ("hidden", 'hidden="hidden"', 'class="x" HIDDEN', 'style="display: none"'):
+        assert main_text(f"<body><article><p>{prose}</p><p {hidden}>{prose}</p></article></body>") == prose.strip()
