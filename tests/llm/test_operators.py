@@ -167,8 +167,11 @@ def test_line_classes(make):
     assert got == {p: first[root[x]] for x, places in at.items() for p in places}
 
 
-def test_line_classes_around_a_pivot(make):
-    """Lines that stay near the limit of each other, each unlike a common form in its own places."""
+@pytest.mark.parametrize("small_band", [line_dedup.SMALL_BAND, 1])
+def test_line_classes_around_a_pivot(make, monkeypatch, small_band):
+    """Lines that stay near the limit of each other, each unlike a common form in its own places; by
+    sketch, and by the search of large bands."""
+    monkeypatch.setattr(line_dedup, "SMALL_BAND", small_band)
     rng = random.Random(3)
     words = [f"{a}{b}{c}" for a in ("stra", "mel", "por") for b in ("tin", "ul") for c in ("do", "nek", "va")]
     base = [rng.choice(words) for _ in range(45)]
@@ -216,6 +219,18 @@ def test_dedup_lines(make, odd, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_signatures_are_minima_over_shingles():
+    rng = random.Random(21)
+    lines = ["".join(rng.choices("abcdé中😀 ", k=rng.choice([1, 2, 4, 5, 6, 30]))) for _ in range(60)]
+    got = line_dedup.signatures(lines, 5)
+    alone = [line_dedup.signatures([x], 5)[0].tolist() for x in lines]
+    assert got.tolist() == alone  # a line's signature is its own
+    for x, row in zip(lines, alone):
+        shingles = {x[k : k + 5] for k in range(max(1, len(x) - 4))}
+        each = np.array([line_dedup.signatures([s], 5)[0] for s in shingles])
+        assert row == each.min(axis=0).tolist()
+
+
 # --- simhash ----------------------------------------------------------------------------------
 
 
