@@ -267,3 +267,20 @@ def test_one_buffer_holds_all_texts():
     assert formatted.to_pylist() == ["<s>user[INST]a<\\s>[/INST]</s><s>assistant[INST][/INST]</s>", "<s>user[INST]\\\\[/INST]</s>"]
     assert loss.to_pylist() == [[{"start": 47, "stop": 47}], []]
     assert sum(b.size for b in formatted.buffers()[2:]) == sum(len(t) for t in formatted.to_pylist())
+
+
+def test_similarities_of_line_pairs():
+    """As sets of shingles give them: short lines, equal lines, repeats, lines with nothing in common."""
+    import random
+
+    from strayline.llm import line_dedup
+
+    draw = random.Random(3)
+    x = ["".join(draw.choices("abc dé中", k=draw.randint(1, 60))) for _ in range(300)]
+    y = [a if i % 3 == 0 else a[: len(a) // 2] + "zz" + a[len(a) // 2 :] if i % 3 == 1 else draw.choice(x) for i, a in enumerate(x)]
+    x, y = [*x, "a" * 500, "ab"], [*y, "a" * 7, "ab\x00"]
+    for width in (1, 5, 10):
+        found = line_dedup.similarities(x, y, width)
+        for a, b, j in zip(x, y, found):
+            s, t = ({z[i : i + width] for i in range(max(len(z) - width + 1, 1))} for z in (a, b))
+            assert abs(j - len(s & t) / len(s | t)) < 1e-12
