@@ -10,7 +10,7 @@ from strayline.llm.decontaminate import overlaps
 from strayline.llm.fill_middle import fill_in_middle, store_frames, with_digests
 from strayline.llm.html_main import extract
 from strayline.llm.line_dedup import LINE_WIDTH, line_classes
-from strayline.llm.line_rules import clean_lines
+from strayline.llm.line_rules import BOILERPLATE, clean_lines
 from strayline.llm.masked_lm import score
 from strayline.llm.mixing import mix
 from strayline.llm.quality_gam import score_quality
@@ -166,7 +166,35 @@ select conv_id, count(*) as n_turns,
   sum(length({_escaped("role")}) + length({_escaped("text")}) + length('<s>[INST][/INST]</s>'))::bigint as formatted_chars
 from t group by conv_id"""
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_PHRASES = " or ".join(f"contains(lower(line), '{phrase}')" for phrase in BOILERPLATE)
+_LINE_RULES = rf"""with docs as (select row_number() over () as nr, doc_id, coalesce(text, '') as text from documents),
+split as (select nr, regexp_extract_all(text, '{_WORD}') as ws, string_split(text, chr(10)) as ls from docs),
+words as (select nr, unnest(ws) as w, generate_subscripts(ws, 1) as i from split),
+windows as (select nr, i, w as a, lead(w, 1) over o as b, lead(w, 2) over o as c from words window o as (partition by nr order by i)),
+again as (select nr, i, count(*) over (partition by nr, a, b, c) as n from windows where c is not null),
+covered as (select distinct nr, unnest([i, i + 1, i + 2]) as i from again where n > 1),
+repeats as (select nr, count(*) as n_repeat_words from covered group by nr),
+counts as (select nr, count(*) as n_words, sum(length(w))::bigint as word_chars from words group by nr),
+lines as (select nr, line, len(regexp_extract_all(line, '{_WORD}')) as n from (select nr, unnest(ls) as line from split)),
+ruled as (select nr, line, n, len(regexp_extract_all(line, '[#*$%&|<>]')) * 5 >= n
+  or (upper(line) = line and lower(line) <> line and n > 1)
+  or (len(regexp_extract_all(line, '[|»›·•]|\s(?:>|/|::)\s')) >= 2 and len(regexp_extract_all(line, '[|»›·•]|\s(?:>|/|::)\s')) * 5 > n)
+  or {_PHRASES}
+  or (n < 5 and not regexp_matches(line, '[.!?…:;,。！？]["''”’»)\]]*[\x20\x09-\x0D]*$')) as failed
+  from lines where n > 0),
+judged as (select nr, count(*) - count(distinct line) as n_dup_lines,
+  coalesce(sum(n) filter (not failed), 0) as n_left from ruled group by nr),
+base as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_left, 0) as n_left
+  from docs left join counts using (nr) left join judged using (nr) left join repeats using (nr)),
+failing as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from base)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and 100 * n_left >= 50 * n_words as kept from failing"""
+
 ORACLE: dict[str, str] = {
+    "op10_line_rules": _LINE_RULES,
     "op11_resample": _RESAMPLE,
     "op12_fill_middle": _FILL_MIDDLE,
     "op13_chat_format": _CHAT,
