@@ -142,7 +142,8 @@ def _with_terms(steps: DataFrame, terms: DataFrame, states: Sequence[str]) -> Da
     else:
         salt = F.pmod(F.hash(*KEYS, "pos"), F.lit(SALTS))
         steps_at = steps_at.withColumn("_step_salt", salt)
-        terms = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        # told to merge: the estimated size does not count the copies, and might be broadcast
+        terms = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
         same = same & (F.col("_step_salt") == F.col("_salt"))
     looked = steps_at.join(terms, same, "left")
     pair = F.concat_ws(" > ", F.coalesce("_prev", F.lit("NULL")), "_target")
@@ -161,7 +162,7 @@ def _scored(
 ) -> DataFrame:
     """Steps with ``num`` and ``den``, by either form of matrix."""
     if isinstance(matrix, SparseMatrix):
-        return with_sparse_terms(steps, matrix, check_metric(metric), F.hash(*KEYS, "pos"), only_seen)
+        return with_sparse_terms(steps, matrix, check_metric(metric), only_seen)
     names = parse_states(states)
     return _with_terms(steps, step_terms(matrix, names, metric), names)
 

@@ -60,5 +60,5 @@ def read_matrix_lines(
     cells = lines.withColumn("_n", n).select(F.col("line").alias("src_idx"), F.posexplode(whole).alias("dst_idx", "cell"))
     for side in ("src", "dst"):
         named = domain.select(F.col("state").alias(side), F.col("idx").alias("_idx"))
-        cells = looked_up(cells, named, F.col(f"{side}_idx") == F.col("_idx"), dim, F.hash("src_idx", "dst_idx")).drop("_idx")
+        cells = looked_up(cells, named, F.col(f"{side}_idx") == F.col("_idx"), dim).drop("_idx")
     return cells.select("src", "dst", "src_idx", "dst_idx", F.col("cell").cast("double").alias("p"))

@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from strayline.functions import entropy_term
 from strayline.operators.matrix import parse_states
 
-# A lookup table of up to this many rows (about 100 MB) is broadcast.
-BROADCAST_ROWS = 1_000_000
-# Salts of a larger one: each of its rows is copied so often, and rows of one key are dealt so far.
-SALTS = 32
+# A lookup table of up to this many rows (about 10 MB) is broadcast: a query has up to five of them, and
+# the driver builds each.
+BROADCAST_ROWS = 100_000
 
 
 class SparseMatrix(NamedTuple):
@@ -57,24 +56,21 @@ def declared(spark: SparkSession, states: str | Sequence[str] | DataFrame) -> tu
     return spark.range(1).select(F.posexplode(every).alias("idx", "state")).select("state", "idx"), len(names)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, same: Column, size: int, salt: Column) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, same: Column, size: int) -> DataFrame:
     """``rows`` with what ``table``, of at most ``size`` rows, has for each of them.
 
-    The table is broadcast up to BROADCAST_ROWS. Beyond, rows meet it by key and salt, so that the
-    rows of a frequent key are dealt over SALTS tasks.
+    The table is broadcast up to BROADCAST_ROWS. Beyond, rows meet it by key in a sort-merge join, in
+    which Spark splits the rows of a frequent key. The join is told, not left to estimated sizes: those
+    take a large table of few bytes in its file for one that can be broadcast.
     """
-    if size <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), same, "left")
-    salted = table.withColumn("_table_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
-    return rows.join(salted, same & (F.col("_salt") == F.col("_table_salt")), "left").drop("_salt", "_table_salt")
+    return rows.join(F.broadcast(table) if size <= BROADCAST_ROWS else table.hint("merge"), same, "left")
 
 
 def _indexed(counts: DataFrame, states: DataFrame, dim: int) -> DataFrame:
     """Counts with the indices of both states; an undeclared one is an error."""
     for side in ("src", "dst"):
         known = states.select(F.col("state").alias("_state"), F.col("idx").alias("_idx"))
-        counts = looked_up(counts, known, F.col(side) == F.col("_state"), dim, F.hash("src", "dst"))
+        counts = looked_up(counts, known, F.col(side) == F.col("_state"), dim)
         message = F.concat(F.lit("state not declared: "), F.coalesce(F.col(side), F.lit("NULL")))
         # in the state itself, as an index that nobody reads is not computed
         known = F.when(F.col("_idx").isNull(), F.raise_error(message).cast("string")).otherwise(F.col(side))
@@ -145,7 +141,7 @@ def sparse_column_sums(matrix: SparseMatrix) -> DataFrame:
     what its seen cells have more than that."""
     all_rest = matrix.rows.agg(F.sum("rest").alias("rest")).select(F.coalesce("rest", F.lit(0.0))).scalar()
     rest = matrix.rows.select(F.col("src").alias("_src"), F.col("rest").alias("_rest"))
-    cells = looked_up(matrix.cells, rest, F.col("src") == F.col("_src"), matrix.dim, F.hash("src", "dst"))
+    cells = looked_up(matrix.cells, rest, F.col("src") == F.col("_src"), matrix.dim)
     more = cells.groupBy(F.col("dst").alias("_dst")).agg(
         F.sum(F.col("p") - F.coalesce("_rest", F.lit(0.0))).alias("_more")
     )
@@ -193,7 +189,7 @@ def sparse_terms(matrix: SparseMatrix, metric: str) -> tuple[DataFrame, DataFram
 
 
 def with_sparse_terms(
-    steps: DataFrame, matrix: SparseMatrix, metric: str, salt: Column, only_seen: bool = False
+    steps: DataFrame, matrix: SparseMatrix, metric: str, only_seen: bool = False
 ) -> DataFrame:
     """Steps with the columns ``num`` and ``den``: NULL for a row that is no step.
 
@@ -207,7 +203,7 @@ def with_sparse_terms(
     if n_cells > BROADCAST_ROWS:
         n_cells = matrix.cells.count()
     looked = steps.withColumn("_prev", F.col("prev.state"))
-    looked = looked_up(looked, seen, (F.col("_prev") == F.col("_src")) & (F.col("state") == F.col("_dst")), n_cells, salt)
+    looked = looked_up(looked, seen, (F.col("_prev") == F.col("_src")) & (F.col("state") == F.col("_dst")), n_cells)
     pair = F.concat_ws(" > ", F.coalesce("_prev", F.lit("NULL")), "state")
     is_step = F.col("prev").isNotNull()
     if only_seen:
@@ -215,8 +211,8 @@ def with_sparse_terms(
         num = F.when(is_step & F.col("_src").isNull(), lost).otherwise(F.col("_num"))
         return looked.select(*steps.columns, num.alias("num"), F.col("_den").alias("den"))
     targets = matrix.states.select(F.col("state").alias("_target"))
-    looked = looked_up(looked, unseen, F.col("_prev") == F.col("_row"), matrix.dim, salt)
-    looked = looked_up(looked, targets, F.col("state") == F.col("_target"), matrix.dim, salt)
+    looked = looked_up(looked, unseen, F.col("_prev") == F.col("_row"), matrix.dim)
+    looked = looked_up(looked, targets, F.col("state") == F.col("_target"), matrix.dim)
     unknown = F.raise_error(F.concat(F.lit("state not declared: "), pair)).cast("double")
     rest = F.col("_rest_num")
     if metric == "missrate":  # in a row without any seen cell the first state is the best one

@@ -53,6 +53,21 @@ def test_without_broadcast(spark, monkeypatch):
     assert want == {r["user"]: r["metric"] for r in sequence_metrics(events, few, None, "entreduc").collect()}
 
 
+def test_no_table_beyond_the_bound_is_broadcast(spark, monkeypatch):
+    """However few bytes the table is estimated at, and the matrix is looked up without copies of it."""
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 0)
+    events = events_frame(spark, SEQUENCES)
+    for metric in ("missrate", "entreduc"):
+        scored = sequence_metrics(events, sparse_transitions(events, STATES, 1), None, metric, only_seen=True)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3 and "Broadcast" not in plan and "salt" not in plan
+    frequent = events_frame(spark, {"u": "AB" * 2_000, "v": "A", "w": "ABC"})
+    scored = sequence_metrics(frequent, sparse_transitions(events, STATES, 1), None, "missprob")
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 100)
+    told = sequence_metrics(frequent, sparse_transitions(events, STATES, 1), None, "missprob")
+    assert {(r["user"], r["metric"]) for r in scored.collect()} == {(r["user"], r["metric"]) for r in told.collect()}
+
+
 def test_a_hundred_thousand_states(spark):
     """No part of it has a row per pair of states, which are ten thousand million."""
     n = 100_000
