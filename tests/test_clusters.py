@@ -61,6 +61,25 @@ def test_twenty_thousand_centers(spark):
     assert rings.table.selectExpr("max(size(centers)) as n").first()["n"] < 400
 
 
+def test_points_far_from_all_centers_meet_few_rings(spark):
+    """The rings around them are all about as far as the nearest center; their boxes are not."""
+    rng = np.random.default_rng(4)
+    centers = np.stack([rng.integers(1, 51, 4_000), 900 + rng.integers(0, 1_000, 4_000) / 10], axis=1).astype(float)
+    x = np.stack([rng.integers(1, 51, 300), rng.integers(2_000, 100_000, 300)], axis=1).astype(float)
+    x[-20:] = x[:20]  # equal features are looked for once, and every point is in the result
+    x[100:150] = centers[:50]
+    frame = centers_frame(spark, list(enumerate(centers.tolist())))
+    points = points_frame(spark, [(i, "a", v) for i, v in enumerate(x.tolist())])
+    got = {r["id"]: r for r in assign_nearest(points, frame, 500).collect()}
+    assert len(got) == 300
+    for i, v in enumerate(x):
+        distances = np.sqrt(((centers - v) ** 2).sum(axis=1))
+        assert (got[i]["cluster"], got[i]["distance"]) == (distances.argmin(), pytest.approx(distances.min(), abs=1e-9))
+    rings = make_rings(frame, 4_000, 2, 500, 250)
+    met = np.mean([len(r["rings"]) for r in with_rings(points, rings).collect()])
+    assert met < 8
+
+
 @pytest.mark.parametrize("local_values", [1_000_000, 1])
 def test_equal_distances_take_the_lowest_cluster(spark, local_values):
     got = assign_nearest(
