@@ -136,15 +136,20 @@ def nearest(x: np.ndarray, centers: Model) -> np.ndarray:
     """
     own = np.einsum("ij,ij->i", x, x)
     length = np.einsum("ij,ij->i", centers, centers)
-    squares = own[:, None] - 2 * (x @ centers.T) + length
-    least = squares.min(axis=1)
-    close = squares <= (least + _TOLERANCE * (own + length.max()))[:, None]
-    found = close.argmax(axis=1)
-    unsure = np.flatnonzero(close.sum(axis=1) > 1)
+    squares = x @ (-2 * centers.T)  # but for the length of the point, which is the same for all centers
+    squares += length
+    found = squares.argmin(axis=1)
+    every = np.arange(len(x))
+    least = squares[every, found]
+    squares[every, found] = np.inf
+    limit = least + _TOLERANCE * (own + length.max())
+    unsure = np.flatnonzero(squares.min(axis=1) <= limit)
     if len(unsure):
+        close = squares[unsure] <= limit[unsure, None]
+        close[np.arange(len(unsure)), found[unsure]] = True
         exact = np.full((len(unsure), len(centers)), np.inf)
         for k in range(len(centers)):
-            of_k = close[unsure, k]
+            of_k = close[:, k]
             exact[of_k, k] = _squared(x[unsure[of_k]], centers[k])
         found[unsure] = exact.argmin(axis=1)
     return found
@@ -256,14 +261,15 @@ def _moved(packed: Packed, models: dict[int, Model]) -> dict[int, Model]:
         added = {m: np.zeros((3, len(c), dim), dtype=np.int64) for m, c in models.items()}
         for part in _slices(batches):
             x = _matrix(part.column(0), dim)
-            whole = np.rint(np.ldexp(x, grid)).astype(np.int64)
+            whole = np.rint(np.ldexp(x.T, grid, order="C")).astype(np.int64)  # a row per feature
             high, low = (whole >> _HALF).astype(float), (whole & ((1 << _HALF) - 1)).astype(float)
             for m, centers in models.items():
-                member = (nearest(x, centers)[None, :] == np.arange(len(centers))[:, None]).astype(float)
-                # whole numbers below 2**26, few thousand of them: products of matrices are exact
-                added[m][0] += (member @ high).astype(np.int64)
-                added[m][1] += (member @ low).astype(np.int64)
-                added[m][2] += member.sum(axis=1).astype(np.int64)[:, None]
+                own = nearest(x, centers)
+                # whole numbers below 2**26, few thousand of them: their sums in doubles are exact
+                for j in range(dim):
+                    added[m][0, :, j] += np.bincount(own, high[j], len(centers)).astype(np.int64)
+                    added[m][1, :, j] += np.bincount(own, low[j], len(centers)).astype(np.int64)
+                added[m][2] += np.bincount(own, minlength=len(centers))[:, None]
         yield _as_rows({(m, c): a[:, c] for m, a in added.items() for c in range(a.shape[1]) if a[2, c, 0]})
 
     def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
