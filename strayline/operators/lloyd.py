@@ -14,10 +14,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-# Points that a task holds as a matrix at a time.
-_ROWS = 8_192
+# Points that a task holds as a matrix at a time: what it makes of them stays small beside the batch
+# Spark sends, since its worker keeps the most it ever held.
+_ROWS = 2_048
 # Bits of a feature on its grid, in two halves whose sums are exact in doubles; those of a cost.
 _GRID_BITS, _HALF = 52, 26
 _COST_BITS = 40
@@ -59,18 +61,30 @@ def _hashes(x: np.ndarray, seed: int) -> np.ndarray:
     return h
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """The vectors of a list column, a row each; a missing value is NaN."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    dim = int(sizes[0]) if len(sizes) else 0
+    if (sizes != dim).any():
+        raise ValueError("points have vectors of unequal length")
+    return (column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) + 0.0).reshape(len(sizes), dim)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A list column of the rows of a matrix."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
 def pack(points: DataFrame, seed: int) -> DataFrame:
     """Points with their features as bytes, in which a pass reads them without a copy, and a hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [np.asarray(v, dtype=np.float64) + 0.0 for v in batch.column(2).to_numpy(zero_copy_only=False)]
-            if len({len(r) for r in rows}) > 1:
-                raise ValueError("points have vectors of unequal length")
-            x = np.array(rows).reshape(len(rows), -1)
+        for part in _slices(batches):
+            x = _vectors(part.column(2))
             hashed = _hashes(x, seed).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(hashed)],
+                [part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(hashed)],
                 ["id", "label", "packed", "hash"],
             )
 
@@ -317,12 +331,17 @@ def fit(packed: Packed, ks: Sequence[int], iterations: int, seed: int) -> dict[i
 
 
 def assign(points: DataFrame, models: Sequence[Model], with_features: bool = True) -> DataFrame:
-    """Packed points with the cluster in each of the models and the distance to its center:
-    ``(id, label[, features], clusters, distances)``."""
+    """Points with the cluster in each of the models and the distance to its center:
+    ``(id, label[, features], clusters, distances)``. Points are packed or have ``features``; those are
+    read as they are, so that a task needs one Python worker and not a second one that packs."""
+    is_packed = "packed" in points.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches):
-            x = _matrix(part.column(2), models[0].shape[1])
+            dim = models[0].shape[1]
+            x = _matrix(part.column(2), dim) if is_packed else _vectors(part.column(2))
+            if x.shape[1] != dim:
+                raise ValueError("points and centers have vectors of unequal length")
             found = np.stack([nearest(x, c) for c in models], axis=1)
             far = np.zeros(found.shape)
             for m, centers in enumerate(models):
@@ -330,13 +349,12 @@ def assign(points: DataFrame, models: Sequence[Model], with_features: bool = Tru
                 for j in range(x.shape[1]):
                     gap += (x[:, j] - centers[found[:, m], j]) ** 2
                 far[:, m] = np.sqrt(gap)
-            features = [pa.array(list(x), pa.list_(pa.float64()))] if with_features else []
-            arrays = [pa.array(list(found.astype(np.int32)), pa.list_(pa.int32())), pa.array(list(far), pa.list_(pa.float64()))]
+            features = [_lists(x)] if with_features else []
+            arrays = [_lists(found.astype(np.int32)), _lists(far)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *features, *arrays], names)
 
     names = ["id", "label", *(["features"] if with_features else []), "clusters", "distances"]
     kinds = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in ("id", "label"))
     middle = "features array<double>, " if with_features else ""
-    return points.select("id", "label", "packed").mapInArrow(
-        run, f"{kinds}, {middle}clusters array<int>, distances array<double>"
-    )
+    read = points.select("id", "label", "packed") if is_packed else points.select("id", "label", "features").where("features is not null")
+    return read.mapInArrow(run, f"{kinds}, {middle}clusters array<int>, distances array<double>")

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 # Kinds of partial sums: values, squares, how many values, and how many of them are not finite.
 _VALUES, _SQUARES, _COUNT, _ODD = range(4)
 _HALF = 27
-# Values that are split at a time.
-_CHUNK = 1 << 20
+# Rows and values that are split at a time: a worker keeps the most memory it ever held.
+_ROWS = 2_048
+_CHUNK = 1 << 17
 _SPLITTER = float(2**27 + 1)
 
 _PARTIAL = "kind int, pos int, power int, high long, low long"
@@ -37,7 +38,7 @@ def _add(into: dict, kind: int, pos: np.ndarray, values: np.ndarray) -> None:
     whole = np.ldexp(fraction, 53).astype(np.int64)
     first, span = int(power.min()), int(power.max() - power.min()) + 1
     key = pos * span + (power - first)
-    # whole numbers below 2**27, at most 2**20 of them: their sums are exact in doubles
+    # whole numbers below 2**27, at most 2**17 of them: their sums are exact in doubles
     high = np.bincount(key, (whole >> _HALF).astype(float))
     low = np.bincount(key, (whole & ((1 << _HALF) - 1)).astype(float))
     for k in np.flatnonzero((high != 0) | (low != 0)).tolist():
@@ -57,8 +58,8 @@ def _squares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict = defaultdict(lambda: [0, 0])
-    for batch in batches:
-        lists = batch.column(0).drop_null()
+    for part in (batch.slice(low, _ROWS) for batch in batches for low in range(0, batch.num_rows, _ROWS)):
+        lists = part.column(0).drop_null()
         sizes = pc.list_value_length(lists).to_numpy()
         values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         pos = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)

@@ -51,7 +51,7 @@ def feature_stats(points: DataFrame) -> DataFrame:
     """
     stats = exact_moments(points)
     most = F.max("n").over(Window.partitionBy())  # one row per feature
-    unequal = F.raise_error(F.lit("points have vectors of unequal length")).cast("long")
+    unequal = F.raise_error(F.lit("points have vectors of unequal length: no common dimension")).cast("long")
     n = F.when(F.col("n") == most, F.col("n")).otherwise(unequal)
     return stats.select("pos", n.alias("n"), "total", "mean", "stdev")
 

@@ -57,7 +57,7 @@ def model_centers(model: Model, points: DataFrame) -> DataFrame:
 
 
 def _scores(points: DataFrame, models: dict[int, Model], strategy: str) -> DataFrame:
-    """`score_models` of packed points."""
+    """`score_models` of points, packed or not."""
     ks = F.array(*[F.lit(k) for k in models])
     assigned = assign(points, list(models.values()), with_features=False)
     if strategy == "entropy":
@@ -77,7 +77,7 @@ def score_models(points: DataFrame, models: dict[int, Model], strategy: str) ->
     Each point is put into a cluster of each model; the (k, cluster) rows that come of it are
     combined before they are shuffled, and distances are added exactly.
     """
-    return _scores(pack(points, SEED), models, check_strategy(strategy))
+    return _scores(points, models, check_strategy(strategy))
 
 
 def sweep_k(points: DataFrame, strategy: str, iterations: int, ks: Sequence[int] = SWEEP_KS) -> DataFrame:
@@ -116,11 +116,11 @@ def prepare(
 
 def assign_by_model(points: DataFrame, model: Model) -> DataFrame:
     """Assigned points of a fitted model, each with the distance to its own center."""
-    return _assigned(pack(points, SEED), model)
+    return _assigned(points, model)
 
 
-def _assigned(packed: DataFrame, model: Model) -> DataFrame:
-    return assign(packed, [np.asarray(model)]).select(
+def _assigned(points: DataFrame, model: Model) -> DataFrame:
+    return assign(points, [np.asarray(model)]).select(
         F.get("clusters", F.lit(0)).alias("cluster"), F.get("distances", F.lit(0)).alias("distance"),
         "id", "label", "features",
     )

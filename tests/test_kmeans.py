@@ -1,15 +1,17 @@
 import math
 import random
+import tracemalloc
 from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 
 import pytest
 from conftest import points_frame
 
 from strayline.operators.clusters import assign_nearest, cluster_distance, cluster_entropy
-from strayline.operators import lloyd
+from strayline.operators import lloyd, moments
 from strayline.operators.vectors import feature_stats, zscore
 from strayline.plans import kmeans
 from strayline.plans.detect import detect_outliers
@@ -165,3 +167,34 @@ def test_sweep_range():
 def test_unknown_strategy(spark):
     with pytest.raises(ValueError, match="strategy"):
         find_kmeans_outliers(points_frame(spark, []), "best", iterations=1, top=1)
+
+
+def _peak_mb(run, batch):
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_statistics_of_a_batch_take_little_memory_beside_it():
+    x = np.random.default_rng(3).normal(size=(10_000, 64))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], ["features"])
+    assert _peak_mb(moments._partial, batch) < 30
+
+
+def test_points_are_assigned_by_one_python_step(spark):
+    rows = [(i, "a", [float(i % 7), None if i == 3 else float(i % 5)]) for i in range(100)] + [(100, "b", None)]
+    points = spark.createDataFrame(rows, "id long, label string, features array<double>")
+    model = np.array([[0.0, 0.0], [6.0, 4.0]])
+    found = assign_by_model(points, model)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["id"]: r for r in found.collect()}
+    assert sorted(got) == list(range(100))
+    assert got[41]["cluster"] == 1 and got[41]["distance"] == 3.0 and got[41]["features"] == [6.0, 1.0]
+    whole = lloyd.assign(lloyd.pack(points, 42), [model]).select("id", "clusters", "distances").where("id <> 3").collect()
+    assert {r["id"]: (r["clusters"][0], r["distances"][0]) for r in whole} == {
+        i: (r["cluster"], r["distance"]) for i, r in got.items() if i != 3
+    }
