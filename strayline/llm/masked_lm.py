@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ SIZE = SIDE * SIDE
 WINDOW, WIDTH = 2, 16
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 BATCH, RATE = 2048, 0.2
+# Scores whose exponentials fit a float.
+_SAFE = 60.0
 PAD = -1  # stands for a word beyond either end, the last row of a table
 
 Network = dict[str, np.ndarray]
@@ -54,9 +57,12 @@ def _side(n_common: int) -> int:
     return max(SIDE, math.isqrt(n_common + CLASSES - 1) + 1)
 
 
-def _class(word: bytes, n_common: int, side: int) -> int:
-    # from length and ends of the word: the same in every process, unlike hash()
-    return n_common + (31 * len(word) + 7 * word[0] + 13 * word[-1] + word[len(word) // 2]) % (side * side - n_common)
+def _class(words: list[bytes], n_common: int, side: int) -> np.ndarray:
+    # from length and ends of a word: the same in every process, unlike hash()
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    units, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+    first, last, middle = (units[at].astype(np.int64) for at in (starts, starts + sizes - 1, starts + sizes // 2))
+    return n_common + (31 * sizes + 7 * first + 13 * last + middle) % (side * side - n_common)
 
 
 def _words(text: bytes | None) -> list[bytes]:
@@ -65,21 +71,46 @@ def _words(text: bytes | None) -> list[bytes]:
 
 def tokens(text: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
     """Token of every word of a text (A-Z in lower case)."""
-    n, side = len(ids), _side(len(ids))
-    return np.array([ids[w] if w in ids else _class(w, n, side) for w in _words(text)], dtype=np.int64)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    words = _words(text)
+    found = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
+    rare = np.flatnonzero(found < 0)
+    if len(rare):
+        found[rare] = _class([words[k] for k in rare.tolist()], len(ids), _side(len(ids)))
+    return found
+
+
+def _exponents(z: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """``exp(z)`` up to a factor per row, which ``z`` is rid of too. Inputs are within -1 and 1, so weights
+    and bias bound ``z``; only where that bound is too high for a float, the greatest of a row is taken off."""
+    if not np.abs(weights).sum(axis=0).max() + np.abs(bias).max() < _SAFE:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z)
+
+
+def _parts(net: Network, around: np.ndarray, high: np.ndarray):
+    """Hidden values, and for the high and the low part of a token: scores, their exponentials and the
+    sum of those in each row."""
+    hidden = net["embed"][0].take(around[0], axis=0)
+    for k in range(1, len(OFFSETS)):
+        hidden += net["embed"][k].take(around[k], axis=0)
+    hidden += net["bias"]
+    np.tanh(hidden, out=hidden)
+    parts = []
+    ones = np.ones((len(net["high_bias"]), 1), np.float32)
+    for kind, of_row in (("high", net["high_bias"]), ("low", net["low_bias"].take(high, axis=0))):
+        z = hidden @ net[kind]
+        z += of_row
+        e = _exponents(z, net[kind], net[f"{kind}_bias"])
+        parts.append((z, e, e @ ones))
+    return hidden, *parts
 
 
 def _forward(net: Network, around: np.ndarray, high: np.ndarray):
-    hidden = np.tanh(sum(net["embed"][k][around[k]] for k in range(len(OFFSETS))) + net["bias"])
-    p_high = _log_softmax(hidden @ net["high"] + net["high_bias"])
-    p_low = _log_softmax(hidden @ net["low"] + net["low_bias"][high])
-    return hidden, p_high, p_low
+    """Hidden values, and the logarithms of the probabilities of all high and all low parts."""
+    hidden, *parts = _parts(net, around, high)
+    for z, _, total in parts:
+        z -= np.log(total)
+    return hidden, *(z for z, _, _ in parts)
 
 
 def _batches(found: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -99,9 +130,10 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _step(net: Network, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     side = len(net["high_bias"])
     high, low = target // side, target % side
-    hidden, p_high, p_low = _forward(net, around, high)
+    hidden, (_, d_high, sum_high), (_, d_low, sum_low) = _parts(net, around, high)
     rows, n = np.arange(len(target)), np.float32(rate / len(target))
-    d_high, d_low = np.exp(p_high), np.exp(p_low)
+    d_high /= sum_high
+    d_low /= sum_low
     d_high[rows, high] -= 1
     d_low[rows, low] -= 1
     back = (d_high @ net["high"].T + d_low @ net["low"].T) * (1 - hidden * hidden)
@@ -112,12 +144,13 @@ def _step(net: Network, around: np.ndarray, target: np.ndarray, rate: float) ->
     kinds[high, rows] = 1
     net["low_bias"] -= n * (kinds @ d_low)
     net["bias"] -= n * back.sum(axis=0)
+    small = np.int16 if side * side < 2**15 else np.int64  # sorted by counting, which is several times faster
     for k in range(len(OFFSETS)):
-        order = np.argsort(around[k], kind="stable")
-        ids = around[k][order]
+        order = np.argsort(around[k].astype(small), kind="stable")
+        ids = around[k].take(order)
         first = np.flatnonzero(np.diff(ids, prepend=PAD - 1))
         # a frequent word sums many gradients: a fixed share of the batch bounds its step
-        net["embed"][k][ids[first]] -= 8 * n * np.add.reduceat(back[order], first, axis=0)
+        net["embed"][k][ids[first]] -= 8 * n * np.add.reduceat(back.take(order, axis=0), first, axis=0)
 
 
 _GROUP = 256
@@ -196,8 +229,8 @@ def _classes(ids: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, side = len(ids), _side(len(ids))
         for batch in batches:
-            kinds = [_class(w, n, side) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), batch.column(1)], ["class", "n"])
+            kinds = _class(batch.column(0).to_pylist(), n, side)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int32)), batch.column(1)], ["class", "n"])
 
     return run
 

@@ -422,6 +422,30 @@ def test_log_probabilities_sum_to_one():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def test_exponentials_need_no_greatest_and_stay_finite():
+    """Those of a step are taken once; scores too large for a float lose the greatest of their row first."""
+    net = masked_lm._unpack(np.random.default_rng(1).normal(0, 0.3, len(masked_lm._pack(masked_lm._start()))))
+    around = np.random.default_rng(2).integers(masked_lm.PAD, masked_lm.SIZE, (len(masked_lm.OFFSETS), 50))
+    high = np.arange(50) % masked_lm.SIDE
+    for factor in (1, 1000):
+        net["high"] = net["high"] * np.float32(factor)
+        hidden, *parts = masked_lm._parts(net, around, high)
+        biases = net["high_bias"], net["low_bias"][high]
+        for (_, e, total), kind, bias in zip(parts, ("high", "low"), biases):
+            z = (hidden.astype(float) @ net[kind] + bias).astype(float)
+            want = np.exp(z - z.max(axis=1, keepdims=True))
+            assert np.allclose(e / total, want / want.sum(axis=1, keepdims=True), atol=1e-3 if factor > 1 else 1e-5)
+
+
+def test_classes_of_words_are_told_for_all_at_once():
+    words = [b"a", b"ab", b"abc", "\u00e9\u00df\U0001f600".encode(), b"x" * 300, b"\xff\xfe"]
+    want = [5 + (31 * len(w) + 7 * w[0] + 13 * w[-1] + w[len(w) // 2]) % (256 - 5) for w in words]
+    ids = dict(zip([b"the", b"of", b"and", b"to", b"in"], range(5)))
+    assert masked_lm._class(words, 5, 16).tolist() == want
+    assert masked_lm.tokens(b" \x0b".join([b"THE", *words, b"in"]), ids).tolist() == [0, *want, 4]
+    assert masked_lm.tokens(None, ids).tolist() == masked_lm.tokens(b" \n", ids).tolist() == []
+
+
 def test_order_matters_to_the_score(spark, odd, no_docs):
     rng = random.Random(10)
     text = lambda: " ".join(f"a{k} b{k} c{k}" for k in rng.choices(range(20), k=120))
