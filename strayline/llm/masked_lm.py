@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +69,20 @@ def _words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # of bytes: A-Z only, and ASCII white space only
 
 
-def tokens(text: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
-    """Token of every word of a text (A-Z in lower case)."""
-    words = _words(text)
+def tokens_of(texts: list[bytes | None], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all words of some texts (A-Z in lower case), one text after the other, and the words of each."""
+    split = [_words(t) for t in texts]
+    sizes, words = np.fromiter(map(len, split), np.int64, len(split)), list(chain.from_iterable(split))
     found = np.fromiter(map(ids.get, words, repeat(-1)), np.int64, len(words))
     rare = np.flatnonzero(found < 0)
     if len(rare):
         found[rare] = _class([words[k] for k in rare.tolist()], len(ids), _side(len(ids)))
-    return found
+    return found, sizes
+
+
+def tokens(text: bytes | None, ids: dict[bytes, int]) -> np.ndarray:
+    """Token of every word of a text."""
+    return tokens_of([text], ids)[0]
 
 
 def _exponents(z: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -113,7 +119,7 @@ def _forward(net: Network, around: np.ndarray, high: np.ndarray):
     return hidden, *(z for z, _, _ in parts)
 
 
-def _batches(found: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _batches(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and the tokens around them; texts are apart from each other by WINDOW paddings."""
     places = np.flatnonzero(found != PAD)
     for k in range(0, len(places), BATCH):
@@ -127,33 +133,47 @@ def _joined(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([gap, *[x for t in texts for x in (t, gap)]]), starts
 
 
+def _sums(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of small whole numbers, ascending, and the sum of the rows of each.
+
+    Two floats are added as one complex number: a sum of short runs costs by the columns it has.
+    """
+    small = np.int16 if ids.max() < 2**15 else np.int64  # sorted by counting, which is several times faster
+    order = np.argsort(ids.astype(small), kind="stable")
+    ids, rows = ids.take(order), rows.take(order, axis=0)
+    first = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1])
+    n = rows.shape[1]
+    if n % 2:
+        rows = np.concatenate([rows, np.zeros((len(rows), 1), np.float32)], axis=1)
+    return ids[first], np.add.reduceat(rows.view(np.complex64), first, axis=0).view(np.float32)[:, :n]
+
+
 def _step(net: Network, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     side = len(net["high_bias"])
     high, low = target // side, target % side
     hidden, (_, d_high, sum_high), (_, d_low, sum_low) = _parts(net, around, high)
-    rows, n = np.arange(len(target)), np.float32(rate / len(target))
+    n, each = np.float32(rate / len(target)), np.ones(len(target), np.float32)
+    first = np.arange(0, len(target) * side, side)
     d_high /= sum_high
     d_low /= sum_low
-    d_high[rows, high] -= 1
-    d_low[rows, low] -= 1
+    d_high.ravel()[first + high] -= 1
+    d_low.ravel()[first + low] -= 1
     back = (d_high @ net["high"].T + d_low @ net["low"].T) * (1 - hidden * hidden)
     net["high"] -= n * (hidden.T @ d_high)
-    net["high_bias"] -= n * d_high.sum(axis=0)
+    net["high_bias"] -= n * (each @ d_high)
     net["low"] -= n * (hidden.T @ d_low)
-    kinds = np.zeros((side, len(target)), dtype=np.float32)
-    kinds[high, rows] = 1
-    net["low_bias"] -= n * (kinds @ d_low)
-    net["bias"] -= n * back.sum(axis=0)
-    small = np.int16 if side * side < 2**15 else np.int64  # sorted by counting, which is several times faster
-    for k in range(len(OFFSETS)):
-        order = np.argsort(around[k].astype(small), kind="stable")
-        ids = around[k].take(order)
-        first = np.flatnonzero(np.diff(ids, prepend=PAD - 1))
+    kinds, of_kind = _sums(d_low, high)
+    net["low_bias"][kinds] -= n * of_kind
+    net["bias"] -= n * (each @ back)
+    for embed, ids in zip(net["embed"], around):
+        ids, of_id = _sums(back, ids)
         # a frequent word sums many gradients: a fixed share of the batch bounds its step
-        net["embed"][k][ids[first]] -= 8 * n * np.add.reduceat(back.take(order, axis=0), first, axis=0)
+        embed[ids] = embed.take(ids, axis=0) - 8 * n * of_id
 
 
 _GROUP = 256
+# Different words that a task counts before it sends them.
+_HELD = 1 << 16
 _VALUES = [f"v{k}" for k in range(WIDTH)]  # a row of weights
 
 
@@ -164,12 +184,36 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield part, part.column(column).to_pylist()
 
 
+def _tokenized(ids: dict[bytes, int]):
+    """Rows ``(doc_id, h, g, text)`` with the tokens of the text in its place."""
+    kind = _token_type(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _texts(batches, 3):
+            found, sizes = tokens_of(texts, ids)
+            ends = np.cumsum(sizes) * kind.itemsize
+            flat = found.astype(kind).tobytes()
+            packed = pa.array([flat[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], packed], ["doc_id", "h", "g", "tokens"])
+
+    return run
+
+
+def _token_type(ids: dict[bytes, int]) -> np.dtype:
+    return np.dtype(np.int16 if _side(len(ids)) ** 2 < 2**15 else np.int32)
+
+
+def _read_tokens(packed: list[bytes], ids: dict[bytes, int]) -> list[np.ndarray]:
+    kind = _token_type(ids)
+    return [np.frombuffer(x, kind).astype(np.int64) for x in packed]
+
+
 def _train(ids: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, seen = _start(_side(len(ids))), 0
-        for _, texts in _texts(batches, 0):
-            found, starts = _joined([tokens(t, ids) for t in texts])
-            for at, around in _batches(found, starts):
+        for _, packed in _texts(batches, 0):
+            found, _ = _joined(_read_tokens(packed, ids))
+            for at, around in _batches(found):
                 _step(net, around, found[at], RATE * 32 / (32 + seen / (64 * BATCH)) if seen else RATE)
                 seen += len(at)
         if seen:
@@ -184,13 +228,17 @@ def _train(ids: dict[bytes, int]):
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"])
+
+    count = Counter()
     for _, texts in _texts(batches, 0):
-        count = Counter()
         for t in texts:
             count.update(_words(t))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"]
-        )
+        if len(count) > _HELD:
+            yield rows()
+            count = Counter()
+    yield rows()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -207,14 +255,26 @@ def vocabulary(counts: DataFrame) -> dict[bytes, int]:
     return {bytes(r["word"]): k for k, r in enumerate(top)}
 
 
-def train(docs: DataFrame, ids: dict[bytes, int]) -> Network:
-    """Network over the tokens of a vocabulary.
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("binary").alias("text")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), F.hash("text").alias("g"), text)
+
+
+def tokenized(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """Rows ``(doc_id, h, g, tokens)``, in the partitions of ``docs``: two hashes of the text, and its
+    tokens in two or four bytes each. Written to the shared folder, for training and scoring."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return cut(_keyed(docs).mapInArrow(_tokenized(ids), f"doc_id {id_type}, h long, g int, tokens binary"))
+
+
+def train(split: DataFrame, ids: dict[bytes, int]) -> Network:
+    """Network over the tokens of a vocabulary, from texts that `tokenized` split.
 
     Every partition trains a copy of one start on all of its texts, and the copies are averaged
     weight by weight by the words they saw.
     """
     kinds = ", ".join(f"{v} double" for v in _VALUES)
-    parts = docs.select(F.col("text").cast("binary")).mapInArrow(_train(ids), f"place int, seen double, {kinds}")
+    parts = split.select("tokens").mapInArrow(_train(ids), f"place int, seen double, {kinds}")
     mean = parts.groupBy("place").agg(*[(F.sum(v) / F.sum("seen")).alias(v) for v in _VALUES]).toPandas()
     start = _start(_side(len(ids)))
     if mean.empty:
@@ -260,15 +320,17 @@ def _scores(ids: dict[bytes, int], net: Network, log_class: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = len(net["high_bias"])
-        for part, texts in _texts(batches, 3):
-            split = [tokens(t, ids) for t in texts]
+        for part, packed in _texts(batches, 3):
+            split = _read_tokens(packed, ids)
             found, starts = _joined(split)
             total = np.zeros(len(split))
-            for at, around in _batches(found, starts):
-                high, low = found[at] // side, found[at] % side
-                _, p_high, p_low = _forward(net, around, high)
-                rows = np.arange(len(at))
-                own = p_high[rows, high] + p_low[rows, low] - log_class[found[at]]
+            for at, around in _batches(found):
+                target = found[at]
+                high, low, rows = target // side, target % side, np.arange(len(at))
+                _, *parts = _parts(net, around, high)
+                own = -log_class[target]
+                for (z, _, sums), x in zip(parts, (high, low)):
+                    own += z[rows, x] - np.log(sums[:, 0])
                 total += np.bincount(np.searchsorted(starts, at, side="right") - 1, own, len(split))
             n = np.array([len(t) for t in split])
             rare = np.array([int((t >= len(ids)).sum()) for t in split])
@@ -297,7 +359,8 @@ def score(docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counts = word_counts(docs)
     ids = vocabulary(counts)
-    net = train(docs, ids)
+    split = tokenized(docs, ids)
+    net = train(split, ids)
     least = math.sqrt(counts.agg(F.sum("n")).first()[0] or 0) / RARE
     rare_words = counts.where(F.col("n") < least)
     kinds = rare_words.mapInArrow(_classes(ids), "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect()
@@ -305,11 +368,10 @@ def score(docs: DataFrame) -> DataFrame:
     for r in kinds:
         log_class[r["class"]] = math.log(r["n"])
 
-    text, key = F.col("text").cast("binary"), (F.xxhash64("text").alias("h"), F.hash("text").alias("g"))
-    base = docs.select("doc_id", *key, text.alias("text")).mapInArrow(
+    base = split.mapInArrow(
         _scores(ids, net, log_class), f"doc_id {id_type}, h long, g int, n_tokens long, n_rare long, total double"
     )
-    words = docs.select(*key, text.alias("text")).mapInArrow(_rare(ids), "h long, g int, word binary, times long")
+    words = _keyed(docs).drop("doc_id").mapInArrow(_rare(ids), "h long, g int, word binary, times long")
     # rows of one text add up here: their number is the sum of times over n_rare
     met = words.join(rare_words, "word").groupBy("h", "g").agg(
         F.sum(F.col("times") * F.log("n")).alias("logs"), F.sum("times").alias("times")

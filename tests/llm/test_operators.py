@@ -547,3 +547,27 @@ def test_pipeline(spark):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2]
     assert corpus_pipeline.run(spark, SF_LLM).count() == sizes[-1]
+
+
+def test_tokens_are_told_once_and_kept(spark):
+    """Training and scoring read what one pass split, in the partitions of the texts."""
+    texts = ["The cat SAW the dog", None, " \n", "the axbxz of the cat", "café the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    ids = {w: k for k, w in enumerate([b"the", b"cat", b"of"])}
+    rows = masked_lm.tokenized(docs, ids).collect()
+    assert [r.doc_id for r in rows] == list(range(5))
+    want = [masked_lm.tokens(t and t.encode(), ids).tolist() for t in texts]
+    assert [x.tolist() for x in masked_lm._read_tokens([r.tokens for r in rows], ids)] == want
+    many = {str(k).encode(): k for k in range(40_000)}  # needs four bytes
+    rows = masked_lm.tokenized(docs.selectExpr("doc_id", "'39999 7 x' as text"), many).collect()
+    assert masked_lm._read_tokens([rows[0].tokens], many)[0][:2].tolist() == [39_999, 7]
+
+
+@pytest.mark.parametrize("columns", [1, 16, 17])
+def test_sums_of_equal_tokens(columns):
+    draw = np.random.default_rng(4)
+    ids, rows = draw.integers(-1, 40, 300), draw.normal(size=(300, columns)).astype(np.float32)
+    for shift in (0, 100_000):
+        found, sums = masked_lm._sums(rows, ids + shift)
+        assert found.tolist() == sorted(set((ids + shift).tolist()))
+        assert np.allclose(sums, [rows[ids + shift == k].sum(axis=0) for k in found], atol=1e-4)
