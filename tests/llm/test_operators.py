@@ -219,6 +219,21 @@ def test_dedup_lines(make, odd, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_classes_without_python(make, monkeypatch):
+    """DataFrame operations alone; short lines and lines that repeat themselves link as brute force says."""
+    docs = make({i: x for i, x in enumerate(
+        ["=" * 40, "=" * 7, "| --- | --- | --- |", "| --- | --- | --- | --- |", "abcdefghi", "abcdefgh", "ijklmnop", "ab", "AB "]
+    )})
+
+    def refused(*args, **kwargs):
+        raise AssertionError("Python on executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refused)
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.line_classes(docs, width=5).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7}
+
+
 def test_signatures_are_minima_over_shingles():
     rng = random.Random(21)
     lines = ["".join(rng.choices("abcdé中😀 ", k=rng.choice([1, 2, 4, 5, 6, 30]))) for _ in range(60)]
