@@ -234,6 +234,33 @@ def test_line_classes_without_python(make, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7}
 
 
+def test_line_classes_split_texts_once(make, monkeypatch):
+    """Lines of words, with edits, a passage of others, or shuffled, link as brute force says; texts are split
+    into lines by one scan, however many steps compare them."""
+    rng = random.Random(33)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(1, 12))) for _ in range(400)]
+    texts, scans = [], []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.choice([8, 14, 30, 60]))
+        for _ in range(4):
+            line = list(base)
+            for _ in range(rng.randrange(len(base) // 8 + 1)):
+                line[rng.randrange(len(line))] = rng.choice(words)
+            texts.append(" ".join(line))
+        texts.append(" ".join(rng.sample(base, len(base))))
+        texts.append(" ".join(base[: len(base) // 2] + rng.choices(words, k=len(base))))
+    texts = dict(enumerate(texts))
+    sets = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t in texts.items()}
+    links = [(i, k) for i, k in combinations(texts, 2) if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])]
+    root = roots_of(texts, links)
+    least = {r: min(i for i in texts if root[i] == r) for r in set(root.values())}
+    lines = line_dedup._lines
+    monkeypatch.setattr(line_dedup, "_lines", lambda docs: scans.append(1) or lines(docs))
+    got = {r.doc_id: r.kept_doc_id for r in line_dedup.line_classes(make(texts), width=5).collect()}
+    assert got == {i: least[root[i]] for i in texts}
+    assert 40 < len(least) < len(texts) and len(scans) == 1
+
+
 def test_signatures_are_minima_over_shingles():
     rng = random.Random(21)
     lines = ["".join(rng.choices("abcdé中😀 ", k=rng.choice([1, 2, 4, 5, 6, 30]))) for _ in range(60)]
